@@ -111,7 +111,7 @@ def kept_chars(x: Column | str) -> Column:
 def char_bigrams(x: Column | str) -> Column:
     """Set of adjacent pairs of kept characters; one char -> itself; none -> []."""
     ch = kept_chars(x)
-    pairs = F.zip_with(ch, F.slice(ch, 2, 2147483647), lambda a, b: F.concat(a, b))
+    pairs = F.zip_with(ch, F.slice(ch, 2, F.size(ch)), lambda a, b: F.concat(a, b))
     return F.when(F.size(ch) < 2, F.array_distinct(ch)).otherwise(
         F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
 
