@@ -66,3 +66,23 @@ def load_cte(raw: str, name: str) -> str:
          department, title, ask, answer, {context('title', 'ask', 'answer')} AS context,
          lower({clean('answer')}) AS answer_key
   FROM {name}_d)"""
+
+
+def ngrams(t: str, n_min: int = 2, n_max: int = 4) -> str:
+    """DuckDB list of all character n-grams of the prepared text ``t``."""
+    parts = [f"list_transform(range(1, length({t}) - {n} + 2), lambda i: substring({t}, i, {n}))"
+             for n in range(n_min, n_max + 1)]
+    return "list_concat(" + ", ".join(parts) + ")"
+
+
+def tfidf_ctes(docs: str, prefix: str = "tf") -> str:
+    """TF-IDF over CTE `docs(k, t, m)` -> CTE `{prefix}_vec(k, g, w)`."""
+    return f"""
+{prefix}_pre AS (SELECT k, m, regexp_replace(lower(coalesce(t, '')), '{WHITESPACE_CLASS}{{2,}}', ' ', 'g') AS t FROM {docs}),
+{prefix}_grams AS (SELECT k, m, unnest({ngrams('t')}) AS g FROM {prefix}_pre),
+{prefix}_tf AS (SELECT k, m, g, COUNT(*) AS tf FROM {prefix}_grams GROUP BY k, m, g),
+{prefix}_df AS (SELECT g, SUM(m) AS df FROM {prefix}_tf GROUP BY g),
+{prefix}_w AS (SELECT k, g, tf * (ln((1 + (SELECT SUM(m) FROM {docs})) / (1 + df)) + 1) AS w
+               FROM {prefix}_tf JOIN {prefix}_df USING (g)),
+{prefix}_nrm AS (SELECT k, sqrt(SUM(w * w)) AS nrm FROM {prefix}_w GROUP BY k),
+{prefix}_vec AS (SELECT k, g, w / nrm AS w FROM {prefix}_w JOIN {prefix}_nrm USING (k))"""

@@ -92,3 +92,9 @@ def num_partitions(spark: SparkSession) -> int:
     return conf_int(spark, "spark.sql.shuffle.partitions", 200)
 
 
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
