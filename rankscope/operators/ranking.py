@@ -41,8 +41,9 @@ def _window_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(out, F.row_number().over(w))
 
 
-def _local_numbers(keys: list[str]):
-    """mapInPandas body: running number per consecutive key inside one sorted partition."""
+def _local_numbers(keys: list[str], weight: str | None = None):
+    """mapInPandas body: running number (or running sum of ``weight``) per
+    consecutive key inside one sorted partition."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -62,14 +63,17 @@ def _local_numbers(keys: list[str]):
             first = tuple(pdf[k].iloc[0] for k in keys)
             new[0] = prev_key is None or any(
                 not ((a == b) or (pd.isna(a) and pd.isna(b))) for a, b in zip(first, prev_key))
-            idx = np.arange(m, dtype=np.int64)
             grp = np.cumsum(new)
             starts = np.flatnonzero(new)
+            wts = (pdf[weight].to_numpy(dtype=np.int64) if weight is not None
+                   else np.ones(m, dtype=np.int64))
+            csum = np.cumsum(wts)
             lr = np.empty(m, dtype=np.int64)
             cont = grp == 0
-            lr[cont] = idx[cont] + 1 + prev_count
+            lr[cont] = csum[cont] + prev_count
             rest = ~cont
-            lr[rest] = idx[rest] - starts[grp[rest] - 1] + 1
+            first_idx = starts[grp[rest] - 1]
+            lr[rest] = csum[rest] - csum[first_idx] + wts[first_idx]
             prev_key = tuple(pdf[k].iloc[-1] for k in keys)
             prev_count = int(lr[-1])
             pdf["_part"] = np.int32(part)
@@ -80,11 +84,12 @@ def _local_numbers(keys: list[str]):
 
 
 def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """row_number over (keys order by order) without putting a group in one task.
 
     With no keys this is a dense global counter (W2) that never funnels the
-    data through a single partition.
+    data through a single partition.  With ``weight`` (a non-negative integer
+    column) the result is the inclusive running sum of weight instead.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -99,7 +104,7 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     s = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
     schema = T.StructType(s.schema.fields + [T.StructField("_part", T.IntegerType(), False),
                                             T.StructField("_lr", T.LongType(), False)])
-    local = s.mapInPandas(_local_numbers(keys), schema)
+    local = s.mapInPandas(_local_numbers(keys, weight), schema)
     # Reliable checkpoint: materialises the numbered partitions once (in the
     # shared checkpoint folder) so the offsets below see exactly these rows.
     local = local.checkpoint(eager=True)
@@ -117,7 +122,8 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
                .select("_part", *[F.col(f"_fk.{k}").alias(k) for k in keys], "_off"))
     # at most one row per partition: bounded broadcast
     res = (local.join(F.broadcast(offsets), ["_part", *keys], "left")
-           .withColumn(out, (F.col("_lr") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
+           .withColumn(out, (F.col("_lr") + F.coalesce(F.col("_off"), F.lit(0))).cast(
+               "long" if weight else "int"))
            .drop("_part", "_lr", "_off"))
     if drop_const:
         res = res.drop("_g")

@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # importing the modules registers their queries
-    from rankscope.plans import comparison, evaluation, similarity_queries, text_queries  # noqa: F401
+    from rankscope.plans import builders, comparison, evaluation, similarity_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
