@@ -79,10 +79,10 @@ rn AS (SELECT qid, base, od AS pd, (sr + j) % other_size AS pos, nh + 1 + j AS s
        FROM (SELECT *, unnest(range(0, nr)) AS j FROM qp3 WHERE nr > 0)),
 picked AS (SELECT x.qid, x.base, x.slot, p.context AS candidate_context, p.d AS department, x.source_type, 0 AS label
            FROM (SELECT * FROM hd UNION ALL SELECT * FROM rn) x JOIN pool p ON p.d = x.pd AND p.pool_pos = x.pos),
-pos AS (SELECT qid, base, 0 AS slot, context AS candidate_context, d AS department, 'positive' AS source_type, 1 AS label
+pos_rows AS (SELECT qid, base, 0 AS slot, context AS candidate_context, d AS department, 'positive' AS source_type, 1 AS label
         FROM qp3),
 rows AS (SELECT u.*, q.ask AS question, q.d AS question_department, printf('c%06d', u.base + u.slot + 1) AS context_id
-         FROM (SELECT * FROM pos UNION ALL SELECT * FROM picked) u JOIN qp3 q ON q.qid = u.qid),
+         FROM (SELECT * FROM pos_rows UNION ALL SELECT * FROM picked) u JOIN qp3 q ON q.qid = u.qid),
 docs AS (SELECT t AS k, t, COUNT(*) AS m FROM (SELECT question AS t FROM rows UNION ALL
                                                SELECT candidate_context FROM rows) GROUP BY t),
 {S.tfidf_ctes('docs')},

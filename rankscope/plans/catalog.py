@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 def _load() -> None:
     # importing the modules registers their queries
     from rankscope.plans import (builders, comparison, evaluation, quality_queries,  # noqa: F401
-                                 similarity_queries, text_queries)
+                                 scoring_queries, similarity_queries, text_queries)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -38,6 +38,9 @@ def get_session(master: str | None = None, app: str = "rankscope",
     conf = session_defaults()
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
