@@ -142,10 +142,10 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], o
         return _window_number(df, keys, order, out) if keys else range_number(df, [], order, out)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > limit).select(*keys))
-    cap = conf_int(df.sparkSession, "rankscope.broadcastRows", DEFAULT_BROADCAST_ROWS)
-    n_hot = hot.limit(cap + 1).count()
-    if n_hot == 0:
+    if hot.isEmpty():
         return _window_number(df, keys, order, out)
+    cap = conf_int(df.sparkSession, "rankscope.broadcastRows", DEFAULT_BROADCAST_ROWS)
+    n_hot = hot.count()
     hot_side = F.broadcast(hot) if n_hot <= cap else hot
     cold = df.join(hot_side, list(keys), "left_anti")
     heavy = df.join(hot_side, list(keys), "left_semi")

@@ -87,7 +87,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     limit = max_rows if max_rows is not None else conf_int(
         spark, "rankscope.broadcastRows", DEFAULT_BROADCAST_ROWS)
-    n = df.limit(limit + 1).count()
+    n = df.count()
     return F.broadcast(df) if n <= limit else df
 
 
