@@ -88,7 +88,7 @@ docs AS (SELECT t AS k, t, COUNT(*) AS m FROM (SELECT question AS t FROM rows UN
 {S.tfidf_ctes('docs')},
 dots AS (SELECT r.context_id, SUM(a.w * b.w) AS s FROM rows r JOIN tf_vec a ON a.k = r.question
          JOIN tf_vec b ON b.k = r.candidate_context AND b.g = a.g GROUP BY r.context_id),
-easy AS (SELECT qid, question, context_id, candidate_context, label, department, source_type,
+easy AS MATERIALIZED (SELECT qid, question, context_id, candidate_context, label, department, source_type,
                 round(COALESCE(dots.s, 0.0), 6) AS embedding_score, question_department
          FROM rows LEFT JOIN dots USING (context_id))"""
 

@@ -17,8 +17,9 @@ def context(t: str, a: str, b: str, n: int = 900) -> str:
 
 def bigrams(x: str) -> str:
     ch = f"regexp_extract_all(coalesce({x}, ''), '{KEPT_CHAR_CLASS}')"
+    # the character list is never referenced inside the lambda (that would re-run the regex per element)
     return (f"(CASE WHEN len({ch}) < 2 THEN list_distinct({ch}) ELSE list_distinct("
-            f"list_transform(range(1, len({ch})), lambda i: {ch}[i] || {ch}[i + 1])) END)")
+            f"list_transform(list_zip(({ch})[1:len({ch}) - 1], ({ch})[2:]), lambda p: p[1] || p[2])) END)")
 
 
 def char_set(x: str) -> str:
