@@ -40,8 +40,11 @@ def load_qa(raw: DataFrame, order: Sequence[str], canonical: str | None = None,
              .agg(F.min(F.struct(*[F.col(o) for o in order], F.col("title"), F.col("department"))).alias("_f"))
              .select("canonical_department", "ask", "answer",
                      *[F.col(f"_f.{o}").alias(o) for o in order], "_f.title", "_f.department"))
+    # raw rows per source bound the deduplicated ones: detect hot sources
+    # without re-running the cleaning
+    hint = raw.select(tag.alias("canonical_department"))
     numbered = number_within(first, ["canonical_department"], [F.col(o).asc() for o in order], "row_no",
-                             hot_rows)
+                             hot_rows, size_hint=hint)
     return numbered.select(
         "canonical_department",
         format_id(F.concat(F.col("canonical_department"), F.lit("_")), F.col("row_no") - 1, 6).alias("raw_id"),

@@ -131,16 +131,19 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
-                  hot_rows: int | None = None) -> DataFrame:
+                  hot_rows: int | None = None, size_hint: DataFrame | None = None) -> DataFrame:
     """row_number() over (partition by keys order by order), skew-safe.
 
     ``hot_rows <= 0`` skips hot-key detection (for callers whose groups are
     bounded by construction, e.g. validated 1+h+r candidate groups).
+    ``size_hint`` is a cheaper frame with the same key columns whose group
+    counts bound the real ones from above (e.g. the raw rows before an
+    expensive cleaning step); detection then never recomputes ``df``.
     """
     limit = _hot_rows(df, hot_rows)
     if limit <= 0 or not keys:
         return _window_number(df, keys, order, out) if keys else range_number(df, [], order, out)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = ((size_hint if size_hint is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > limit).select(*keys))
     if hot.isEmpty():
         return _window_number(df, keys, order, out)

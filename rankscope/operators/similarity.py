@@ -157,6 +157,46 @@ class SparseBlock:
         return np.bincount(self.doc[idx], weights=self.w[idx] * np.repeat(wq, ln), minlength=self.n)
 
 
+    def score_matrix(self, q_grams: Sequence[np.ndarray], q_weights: Sequence[np.ndarray],
+                     dense_share: float = 0.02) -> np.ndarray:
+        """Scores of many questions at once: grams present in at least
+        ``dense_share`` of the block's rows are multiplied as dense matrices
+        (BLAS); the rare rest is accumulated from their short posting lists."""
+        nq = len(q_grams)
+        out = np.zeros((nq, self.n), dtype=np.float64)
+        if len(self.uniq) == 0 or nq == 0:
+            return out
+        lens = self.ends - self.starts
+        freq = np.flatnonzero(lens >= max(8, int(self.n * dense_share)))
+        fpos = np.full(len(self.uniq), -1, dtype=np.int64)
+        fpos[freq] = np.arange(len(freq))
+        dense_q = np.zeros((nq, len(freq)), dtype=np.float64) if len(freq) else None
+        for i, (g, w) in enumerate(zip(q_grams, q_weights)):
+            if len(g) == 0:
+                continue
+            g = np.asarray(g, dtype=np.int64)
+            w = np.asarray(w, dtype=np.float64)
+            pos = np.searchsorted(self.uniq, g)
+            pos_c = np.minimum(pos, len(self.uniq) - 1)
+            ok = (pos < len(self.uniq)) & (self.uniq[pos_c] == g)
+            pos, w = pos[ok], w[ok]
+            f = fpos[pos]
+            if dense_q is not None:
+                dense_q[i, f[f >= 0]] = w[f >= 0]
+            rare, wr = pos[f < 0], w[f < 0]
+            if len(rare):
+                st, ln = self.starts[rare], self.ends[rare] - self.starts[rare]
+                idx = np.arange(int(ln.sum()), dtype=np.int64) + np.repeat(st - (np.cumsum(ln) - ln), ln)
+                out[i] += np.bincount(self.doc[idx], weights=self.w[idx] * np.repeat(wr, ln), minlength=self.n)
+        if dense_q is not None:
+            gidx = np.repeat(np.arange(len(self.uniq)), lens)
+            m = fpos[gidx] >= 0
+            dense_d = np.zeros((self.n, len(freq)), dtype=np.float64)
+            dense_d[self.doc[m], fpos[gidx[m]]] = self.w[m]
+            out += dense_q @ dense_d.T
+        return out
+
+
 def top_indices(scores: np.ndarray, tie_rank: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best rows by (score desc, tie_rank asc) among mask."""
     cand = np.flatnonzero(mask)
@@ -193,8 +233,9 @@ def topk_sparse(questions: DataFrame, contexts: DataFrame, q_key: str, c_key: st
         rid = rp["rid"].to_numpy()
         tie = id_order(rp["rid"])
         out_l, out_r, out_s = [], [], []
-        for lid, g, w in zip(lp["lid"], lp["grams"], lp["weights"]):
-            sc = np.round(blk.scores(g, w), SCORE_PLACES)
+        mat = np.round(blk.score_matrix(list(lp["grams"]), list(lp["weights"])), SCORE_PLACES)
+        for i, lid in enumerate(lp["lid"]):
+            sc = mat[i]
             mask = (rid != lid) if exclude_same else np.ones(len(rid), dtype=bool)
             sel = top_indices(sc, tie, mask, k)
             out_l.extend([lid] * len(sel))

@@ -101,3 +101,15 @@ def test_sparse_block_scores_and_topk():
     idx = top_indices(np.array([0.5, 0.9, 0.9, 0.1]), np.array([3, 2, 1, 0]), np.ones(4, bool), 2)
     assert idx.tolist() == [2, 1]
     assert math.isclose(blk.scores(np.array([7]), np.array([1.0])).sum(), 0.0)
+
+
+def test_score_matrix_equals_postings():
+    rng = np.random.default_rng(3)
+    docs = [np.unique(rng.integers(0, 60, rng.integers(0, 25))) for _ in range(200)]
+    wts = [rng.random(len(d)) for d in docs]
+    blk = SparseBlock(docs, wts)
+    qs = [np.unique(rng.integers(0, 80, rng.integers(0, 30))) for _ in range(17)]
+    qw = [rng.random(len(q)) for q in qs]
+    mat = blk.score_matrix(qs, qw)
+    for i in range(len(qs)):
+        assert np.allclose(mat[i], blk.scores(qs[i], qw[i]))
