@@ -61,3 +61,12 @@ def test_matches_duckdb(spark, name):
     want = con.execute(E.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _norm(got) == _norm(want)
+
+
+def test_evaluate_plan_is_skew_safe(spark):
+    """hit@k uses WindowGroupLimit; no cartesian / nested-loop joins; no Python in the plan."""
+    df = E.queries()["evaluate_methods"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
