@@ -36,3 +36,18 @@ def test_csv_helpers(spark):
     assert [r.p for r in df.select(positive_mask(df).alias("p")).collect()] == [True, False, True]
     with pytest.raises(ValueError):
         head_rows(df, 0)
+
+
+def test_read_csv_auto_gb18030_and_utf8_bom(spark):
+    from rankscope.sources.csv import read_csv_auto
+
+    root = tempfile.mkdtemp(prefix="rankscope-csv-")
+    text = "department,title,ask,answer\n儿科,标题,\"孩子发烧, 怎么办\",多喝水\n肿瘤,,NA,答\n"
+    with open(f"{root}/gb.csv", "wb") as fh:
+        fh.write(text.encode("gb18030"))
+    with open(f"{root}/bom.csv", "wb") as fh:
+        fh.write(b"\xef\xbb\xbf" + text.encode("utf-8"))
+    for name in ("gb.csv", "bom.csv"):
+        rows = read_csv_auto(spark, f"{root}/{name}").collect()
+        assert rows[0].asDict() == {"department": "儿科", "title": "标题", "ask": "孩子发烧, 怎么办", "answer": "多喝水"}
+        assert rows[1].ask is None and rows[1].title is None
