@@ -113,3 +113,11 @@ def test_score_matrix_equals_postings():
     mat = blk.score_matrix(qs, qw)
     for i in range(len(qs)):
         assert np.allclose(mat[i], blk.scores(qs[i], qw[i]))
+
+
+def test_row_cosine(spark):
+    from rankscope.operators.similarity import row_cosine
+
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
+    got = [r.c for r in df.select(row_cosine("a", "b").alias("c")).collect()]
+    assert got[0] == pytest.approx(1 / math.sqrt(2)) and got[1] == 0.0
