@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import simhash
+from rankscope.llm import quality, simhash
 from rankscope.llm.common import read_table
 
 
@@ -17,8 +17,16 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "component_id")
 
 
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("q_words").alias("n_words"), F.col("q_word_chars").alias("word_chars"),
+                       F.col("q_symbols").alias("n_symbols"), F.col("q_dup_lines").alias("n_dup_lines"),
+                       F.col("q_repeat_words").alias("n_repeat_words"), "base_failed", "kept", "distance2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_bktree": op7_simhash_bktree,
+    "op8_robust_outliers": op8_robust_outliers,
 }
 
 SQL: dict[str, str] = {}
