@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import quality, secrets, simhash
+from rankscope.llm import quality, secrets, sentences, simhash
 from rankscope.llm.common import read_table
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences.remove_repeated_spans(read_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("sd_spans", lambda s: F.concat_ws(":", s["start"].cast("string"),
+                                                                       s["end"].cast("string"))), ",")
+    return rows.select("doc_id", F.col("sd_n_sentences").alias("n_sentences"), F.col("sd_n_removed").alias("n_removed"),
+                       spans.alias("spans"), F.col("text").alias("kept_text"))
+
+
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != secrets.ADDED[0])
@@ -44,6 +52,7 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentence_spans": op2_sentence_spans,
     "op4_secret_ownership": op4_secret_ownership,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_robust_outliers": op8_robust_outliers,
