@@ -202,3 +202,19 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     base = rows.where("base_failed").withColumns({"distance2": F.lit(None).cast("double"), "kept": F.lit(False)})
     cols = base.columns
     return judged.select(*cols).unionByName(base).drop(*names)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+              source_col: str = "source", min_rows: int = MIN_ROWS, cut: float = CHI_CUT) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the verdict keeps.
+
+    Rows equal in id and text share a fate: one rejected rejects all.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    verdicts = quality_verdicts(rows, "text", "lang", "source", min_rows, cut)
+    bad = materialize(verdicts.where("not kept").select(F.col("id").alias("_id"), F.col("q_key").alias("_key"))
+                      .distinct())
+    keyed = docs.withColumn("_text_key", text_key(text_col))
+    return (keyed.join(bad, keyed[id_col].eqNullSafe(bad["_id"]) & (keyed["_text_key"] == bad["_key"]), "left_anti")
+            .drop("_text_key"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import quality, secrets, sentences, simhash
+from rankscope.llm import packing, quality, secrets, sentences, simhash
 from rankscope.llm.common import read_table
 
 
@@ -51,11 +51,16 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("q_repeat_words").alias("n_repeat_words"), "base_failed", "kept", "distance2")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
     "op4_secret_ownership": op4_secret_ownership,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_robust_outliers": op8_robust_outliers,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
