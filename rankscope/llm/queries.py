@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import packing, quality, secrets, sentences, simhash
+from rankscope.llm import bpe, packing, quality, secrets, sentences, simhash
 from rankscope.llm.common import read_table
 
 
@@ -38,6 +39,11 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
                        verdicts("example"), verdicts("shared"), verdicts("live"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = simhash.simhash_components(read_table(spark, sf_dir, "documents"))
     return comp.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -58,6 +64,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
     "op4_secret_ownership": op4_secret_ownership,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_robust_outliers": op8_robust_outliers,
     "op10_best_fit_packing": op10_best_fit_packing,
