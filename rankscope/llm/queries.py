@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import bpe, packing, quality, secrets, sentences, simhash
+from rankscope.llm import bpe, packing, quality, ring, secrets, sentences, simhash
 from rankscope.llm.common import read_table
 
 
@@ -20,6 +20,15 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                        spans.alias("spans"), F.col("text").alias("kept_text"))
 
 
+def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return ring.assign_shards(docs, "doc_id", epsilon=0).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != secrets.ADDED[0])
@@ -63,6 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
+    "op3_bounded_ring": op3_bounded_ring,
     "op4_secret_ownership": op4_secret_ownership,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_bktree": op7_simhash_bktree,
