@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import bpe, packing, quality, ring, secrets, sentences, simhash
+from rankscope.llm import bpe, packing, quality, ring, secrets, sentences, simhash, warc
 from rankscope.llm.common import read_table
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.responses(read_table(spark, sf_dir, "pages"))
+    return warc.build_derivatives(records, "id").withColumnRenamed("id", "page_id")
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences.remove_repeated_spans(read_table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("sd_spans", lambda s: F.concat_ws(":", s["start"].cast("string"),
@@ -71,6 +76,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_sentence_spans": op2_sentence_spans,
     "op3_bounded_ring": op3_bounded_ring,
     "op4_secret_ownership": op4_secret_ownership,
