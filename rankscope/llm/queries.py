@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import bpe, packing, quality, ring, secrets, sentences, simhash, warc
+from rankscope.llm import bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, warc
 from rankscope.llm.common import read_table
 
 
@@ -53,6 +53,10 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
                        verdicts("example"), verdicts("shared"), verdicts("live"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
     "op3_bounded_ring": op3_bounded_ring,
     "op4_secret_ownership": op4_secret_ownership,
+    "op5_nn_descent": op5_nn_descent,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_robust_outliers": op8_robust_outliers,
