@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, warc
+from rankscope.llm import bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes, warc
 from rankscope.llm.common import read_table
 
 
@@ -75,6 +75,12 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("q_repeat_words").alias("n_repeat_words"), "base_failed", "kept", "distance2")
 
 
+def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("sa_n_bytes").alias("n_bytes"), F.col("sa_n_removed").alias("n_removed"),
+                       F.col("sa_n_spans").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash_bktree": op7_simhash_bktree,
     "op8_robust_outliers": op8_robust_outliers,
+    "op9_difference_cover": op9_difference_cover,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
