@@ -197,7 +197,7 @@ def brute_secrets(rows):
 def secret_texts():
     long = "Zq8" + "aB3" * 9
     return ["é pass Password = hunter22 and token:'abc' x", "AKIA" + "Q7" * 9 + " api_key=" + "0f" * 14, "0af3" * 7,
-            None, "", f"key {long} here", f"secret: {long}", "tokEN=" + "x" * 6 + " API-KEY=nope apikey\"= 'longer.one'",
+            None, "", f"key {long} here", f"secret: {long}x", "tokEN=" + "x" * 6 + " API-KEY=nope apikey\"= 'longer.one'",
             "0af3" * 7 + " again", "0af3" * 7, "0af3" * 7, "password=short token=ok1234 " * 3]
 
 
