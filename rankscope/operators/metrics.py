@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankscope.functions.numeric import round_metric, sigmoid, softplus, to_double_or
+from rankscope.functions.numeric import round_metric, softplus, to_double_or
 from rankscope.operators.ranking import number_within, score_order, top_k
 
 SUMMARY_COLUMNS = ["method", "num_eval_qids", "precision_at_1", "precision_at_3",
@@ -114,11 +114,13 @@ def pointwise_loss(df: DataFrame, label: str = "label", logit: str = "score", po
 
 
 def listwise_loss(df: DataFrame, group: Sequence[str] = (), label: str = "label",
-                  logit: str = "score") -> DataFrame:
+                  logit: str = "score", strict: bool = False) -> DataFrame:
     """Softmax cross-entropy of the positive per qid, averaged over qids,
     with group hit@1/3/5 and MRR of the positive's position (W1 tie-break).
 
-    Groups must have exactly one positive (V5); others are left out.
+    A group must have exactly one positive (V5): the others have no such loss
+    and are counted in num_left_out, or raise when the result is read if
+    ``strict``.
     The log-sum-exp is a two-level aggregate (max, then sum of exp(s - max)),
     so a hot qid never sits in one task.
     """
@@ -128,7 +130,9 @@ def listwise_loss(df: DataFrame, group: Sequence[str] = (), label: str = "label"
     stats = base.groupBy(*keys).agg(F.max("s").alias("m"), F.sum("y").alias("npos"),
                                     F.max(F.when(F.col("y") == 1, F.col("s"))).alias("s_pos"),
                                     F.max(F.when(F.col("y") == 1, F.col("context_id"))).alias("c_pos"))
-    stats = stats.where(F.col("npos") == 1)
+    bad = F.raise_error(F.concat(F.lit("group "), F.col("qid").cast("string"), F.lit(
+        " must have exactly one positive"))).cast("double") if strict else F.lit(None).cast("double")
+    stats = stats.withColumn("s_pos", F.when(F.col("npos") == 1, F.col("s_pos")).otherwise(bad))
     ahead = (base.join(stats, keys)
              .groupBy(*keys).agg(
                  F.first("m").alias("m"), F.first("s_pos").alias("s_pos"),
@@ -136,17 +140,13 @@ def listwise_loss(df: DataFrame, group: Sequence[str] = (), label: str = "label"
                  F.sum(F.when((F.col("s") > F.col("s_pos")) |
                               ((F.col("s") == F.col("s_pos")) & (F.col("context_id") < F.col("c_pos"))), 1)
                        .otherwise(0)).alias("n_ahead")))
+    sound = F.col("s_pos").isNotNull()
     per_q = ahead.select(*keys, (F.col("m") + F.log(F.col("z")) - F.col("s_pos")).alias("ce"),
-                         (F.col("n_ahead") + 1).alias("pos"))
-    pos = F.col("pos")
-    return per_q.groupBy(*group).agg(
-        F.avg("ce").alias("loss"), F.count(F.lit(1)).alias("num_groups"),
-        F.avg(F.when(pos <= 1, 1.0).otherwise(0.0)).alias("val_p1"),
-        F.avg(F.when(pos <= 3, 1.0).otherwise(0.0)).alias("val_p3"),
-        F.avg(F.when(pos <= 5, 1.0).otherwise(0.0)).alias("val_p5"),
-        F.avg(F.lit(1.0) / pos).alias("val_mrr"))
-
-
-def probability(logit: Column | str) -> Column:
-    """P17 used as a metric input: sigmoid of a raw margin."""
-    return sigmoid(logit)
+                         F.when(sound, F.col("n_ahead") + 1).alias("pos"), sound.alias("sound"))
+    sound_pos = F.col("pos")
+    out = per_q.groupBy(*group).agg(
+        F.avg("ce").alias("loss"), F.count("ce").alias("num_groups"),
+        F.count(F.when(~F.col("sound"), 1)).alias("num_left_out"),
+        *[F.avg(F.when(sound_pos <= k, 1.0).when(sound_pos > k, 0.0)).alias(f"val_p{k}") for k in (1, 3, 5)],
+        F.avg(F.lit(1.0) / sound_pos).alias("val_mrr"))
+    return out

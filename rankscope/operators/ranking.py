@@ -38,7 +38,7 @@ def _hot_rows(df: DataFrame, hot_rows: int | None) -> int:
 
 def _window_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w))
+    return df.withColumn(out, F.row_number().over(w).cast("long"))
 
 
 def _local_numbers(keys: list[str], weight: str | None = None):
@@ -116,14 +116,18 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     b = summary.select(F.col("_part").alias("_p2"), F.col("_last"))
     cond = (F.col("_p2") < F.col("_part"))
     for k in keys:
-        cond = cond & (F.col(f"_fk.{k}") == F.col(f"_last.{k}"))
+        cond = cond & F.col(f"_fk.{k}").eqNullSafe(F.col(f"_last.{k}"))
     offsets = (a.join(b, cond)
                .groupBy("_part", "_fk").agg(F.sum(F.col("_last._lr")).alias("_off"))
                .select("_part", *[F.col(f"_fk.{k}").alias(k) for k in keys], "_off"))
     # at most one row per partition: bounded broadcast
-    res = (local.join(F.broadcast(offsets), ["_part", *keys], "left")
+    offsets = offsets.select(F.col("_part").alias("_op"), *[F.col(k).alias(f"_ok_{k}") for k in keys], "_off")
+    same = F.col("_part") == F.col("_op")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_ok_{k}"))
+    res = (local.join(F.broadcast(offsets), same, "left").drop("_op", *[f"_ok_{k}" for k in keys])
            .withColumn(out, (F.col("_lr") + F.coalesce(F.col("_off"), F.lit(0))).cast(
-               "long" if weight else "int"))
+               "long"))
            .drop("_part", "_lr", "_off"))
     if drop_const:
         res = res.drop("_g")

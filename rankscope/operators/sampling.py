@@ -16,6 +16,10 @@ from rankscope.operators.ranking import number_within, range_number, top_k
 from rankscope.session import bounded_broadcast
 
 
+#: Spark limits a ranked group before the shuffle up to this rank.
+LIMITED = 1000
+
+
 def hash_order(seed: int, salt: str, *keys: Column | str) -> Column:
     cols = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *cols))
@@ -40,30 +44,43 @@ def stratified_targets(corpus: DataFrame, n: int, dept: str = "canonical_departm
 
 def two_department_targets(corpus: DataFrame, n: int, departments: Sequence[str],
                            dept: str = "canonical_department") -> DataFrame:
-    """X1 targets: floor(n/2) for the first department, the rest for the second,
-    each capped at its pool size."""
+    """X1 targets: floor(n/2) for the first department, the rest for the second.
+
+    A department that is short leaves its share to the other; too few rows in
+    both raise.  Two numbers reach the driver.
+    """
     if len(departments) != 2:
         raise ValueError("two departments expected")
-    half = n // 2
-    wanted = F.when(F.col(dept) == departments[0], F.lit(half)).when(
-        F.col(dept) == departments[1], F.lit(n - half))
-    sizes = corpus.where(F.col(dept).isin(list(departments))).groupBy(dept).agg(F.count(F.lit(1)).alias("_m"))
-    return sizes.select(dept, F.least(wanted, F.col("_m")).cast("int").alias("target"))
+    sizes = corpus.where(F.col(dept).isin(list(departments))).groupBy(dept).agg(F.count(F.lit(1)).alias("m"))
+    have = {r[dept]: r["m"] for r in sizes.collect()}
+    first, second = (have.get(d, 0) for d in departments)
+    if first + second < n:
+        raise ValueError(f"{n} rows wanted, the departments have {first + second}")
+    a = min(first, n // 2)
+    b = min(second, n - a)
+    a = min(first, n - b)
+    return corpus.sparkSession.createDataFrame(list(zip(departments, (a, b))), f"{dept} string, target long")
 
 
 def sample_by_targets(corpus: DataFrame, targets: DataFrame, seed: int, key: str = "raw_id",
-                      dept: str = "canonical_department", check: bool = False) -> DataFrame:
-    """Hash-ordered sample of ``target`` rows per department (top-k per group,
-    limited before the shuffle).  ``check`` raises when a department is short."""
+                      dept: str = "canonical_department") -> DataFrame:
+    """Hash-ordered sample of ``target`` rows per department; a department with fewer rows raises.
+
+    The number of departments is small and their targets are few numbers; a
+    department's rows are limited before the shuffle while targets are small
+    and numbered over a range sort above, so that none sits in one task.
+    """
     tb = bounded_broadcast(targets)
-    if check:
-        short = (corpus.groupBy(dept).agg(F.count(F.lit(1)).alias("_m")).join(tb, dept, "right")
-                 .where(F.coalesce(F.col("_m"), F.lit(0)) < F.col("target")).limit(5).collect())
-        if short:
-            raise ValueError(f"not enough rows for departments {[r[dept] for r in short]}")
+    short = (corpus.groupBy(dept).agg(F.count(F.lit(1)).alias("_m")).join(tb, dept, "right")
+             .where(F.coalesce(F.col("_m"), F.lit(0)) < F.col("target")).limit(5).collect())
+    if short:
+        raise ValueError(f"not enough rows for departments {[r[dept] for r in short]}")
     kmax = max(1, targets.agg(F.max("target")).first()[0] or 0)
-    ranked = top_k(corpus.join(tb, dept), [dept], [hash_order(seed, "sample", key)], kmax, "_s")
-    return ranked.where(F.col("_s") <= F.col("target")).drop("_s", "target")
+    order = [hash_order(seed, "sample", key)]
+    ids = corpus.join(tb, dept).select(dept, key, "target")
+    ranked = top_k(ids, [dept], order, kmax, "_s") if kmax <= LIMITED else range_number(ids, [dept], order, "_s")
+    chosen = ranked.where(F.col("_s") <= F.col("target")).select(key)
+    return corpus.join(chosen, key, "left_semi")
 
 
 def shuffle_ids(sampled: DataFrame, seed: int, prefix: str, width: int = 4, key: str = "raw_id") -> DataFrame:

@@ -2,7 +2,7 @@
 (M3), and a plug-in batch scorer for opaque models (M7-M11).
 
 Expression scorers stay JVM-side.  Only ``score_pairs`` runs Python, once per
-Arrow batch (mapInPandas), with the model built once per Python worker.
+Arrow batch (mapInPandas), with the model built once per task.
 """
 
 from __future__ import annotations
@@ -12,13 +12,16 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import capped_length, length_ratio, match_indicator, to_double_or
 from rankscope.functions.text import keyword_overlap
 from rankscope.operators.ranking import rank_scores
 
+# ---------------------------------------------------------------------------
+# Feature names in their order.
+# ---------------------------------------------------------------------------
 FEATURE_COLUMNS = ["embedding_score", "keyword_overlap", "department_match", "question_length",
                    "context_length", "length_ratio"]
 
@@ -55,18 +58,7 @@ def build_features(cand: DataFrame, keep: Sequence[str] = ("qid", "context_id",
 
 # --------------------------------------------------------------------------- plug-in scorers
 
-_MODELS: dict[int, object] = {}
-
-
-def _model(factory: Callable[[], object]):
-    """Build the model once per Python worker process."""
-    key = id(factory)
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
-
-
-def to_float_list(raw, n: int, apply_sigmoid: bool = False) -> np.ndarray:
+def row_scores(raw, n: int, apply_sigmoid: bool = False) -> np.ndarray:
     """M9: last logit when a row has several, scalar -> list, optional sigmoid."""
     a = np.asarray(raw, dtype=np.float64)
     if a.ndim == 0:
@@ -80,25 +72,29 @@ def to_float_list(raw, n: int, apply_sigmoid: bool = False) -> np.ndarray:
 
 
 def score_pairs(pairs: DataFrame, scorer_factory: Callable[[], Callable[[list, list], object]],
-                method: str, batch_size: int = 64, max_length: int = 512, apply_sigmoid: bool = False,
+                method: str, batch_size: int = 64, max_length: int | None = None, apply_sigmoid: bool = False,
                 question: str = "question", context: str = "candidate_context") -> DataFrame:
     """M7 + M8 + M10, then W1.
 
     ``scorer_factory()`` returns ``score(questions, contexts) -> array``; it is
-    called once per worker.  Texts are cut to ``max_length`` characters, pairs
-    are scored in slices of ``batch_size`` inside each Arrow batch, and the
-    latency column is the batch's elapsed milliseconds per pair.  Keys travel
+    called once per task.  Texts are passed whole unless ``max_length`` gives
+    the characters that the model can take; pairs are scored in slices of
+    ``batch_size`` inside each Arrow batch, and the latency column is the
+    batch's elapsed milliseconds per pair.  Keys travel
     with the rows, so partition order does not matter.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    base = pairs.select(F.col("qid"), F.col("context_id"),
-                        F.substring(F.coalesce(F.col(question).cast("string"), F.lit("")), 1, max_length).alias("_q"),
-                        F.substring(F.coalesce(F.col(context).cast("string"), F.lit("")), 1, max_length).alias("_c"))
+
+    def text(column: str) -> Column:
+        whole = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        return whole if max_length is None else F.substring(whole, 1, max_length)
+
+    base = pairs.select("qid", "context_id", text(question).alias("_q"), text(context).alias("_c"))
     qtype, ctype = dict(base.dtypes)["qid"], dict(base.dtypes)["context_id"]
 
     def run(batches):
-        score = _model(scorer_factory)
+        score = scorer_factory()
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -107,7 +103,7 @@ def score_pairs(pairs: DataFrame, scorer_factory: Callable[[], Callable[[list, l
             qs, cs = pdf["_q"].tolist(), pdf["_c"].tolist()
             out = np.empty(n, dtype=np.float64)
             for i in range(0, n, batch_size):
-                out[i:i + batch_size] = to_float_list(score(qs[i:i + batch_size], cs[i:i + batch_size]),
+                out[i:i + batch_size] = row_scores(score(qs[i:i + batch_size], cs[i:i + batch_size]),
                                                       len(qs[i:i + batch_size]), apply_sigmoid)
             ms = (time.perf_counter() - t0) * 1000.0 / n
             yield pd.DataFrame({"qid": pdf["qid"], "context_id": pdf["context_id"], "score": out,

@@ -90,12 +90,15 @@ def group_rows(encoded: DataFrame, group_size: int = 10, order: Sequence[str] =
     """One row per qid with exactly ``group_size`` rows and one positive:
     arrays of the encoded rows in (order) order, labels and the target index.
 
-    Group sizes are checked with a partial aggregate first, so the collect
-    below only ever sees groups of exactly ``group_size`` rows (V5).
+    Group sizes are checked with a partial aggregate first: any other group
+    raises (V5) before its rows are collected.
     """
-    sizes = (encoded.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("npos"))
-             .where((F.col("n") == group_size) & (F.col("npos") == 1)).select("qid"))
-    ok = encoded.join(sizes, "qid", "left_semi")
+    sizes = encoded.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("npos"))
+    good = (F.col("n") == group_size) & (F.col("npos") == 1)
+    checked = sizes.select("qid", F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("group "), F.col("qid").cast("string"), F.lit(f" must have {group_size} rows and one positive"))))
+        .cast("boolean").alias("good"))
+    ok = encoded.join(checked, "qid").where("good")
     packed = ok.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(
         *[F.col(o) for o in order], "label", "input_ids", "token_type_ids", "attention_mask"))).alias("_g"))
     return packed.select(

@@ -14,8 +14,8 @@ from rankscope.plans.text_queries import documents_corpus, qa_corpus
 SEED = 42
 # Sampling is the feature here: n questions stratified over the languages.
 STRATIFIED_N = 100
-# Easy set: every corpus row becomes a question (targets are capped at the pool).
-EASY_N = 1_000_000_000
+# Easy set: every corpus row becomes a question.
+EASY_N = None
 EASY_HARD, EASY_RANDOM = 4, 5
 QA_DEPARTMENTS = ("even", "odd")
 
@@ -38,7 +38,7 @@ smp AS (SELECT x.* FROM (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY canonical_d
                                                         ORDER BY {_md5('sample', 'raw_id')}) AS s FROM corpus c) x
         JOIN tgt ON tgt.d = x.canonical_department WHERE s <= target),
 q AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {_md5('shuffle', 'raw_id')}) AS qno FROM smp)
-SELECT printf('qh%04d', qno) AS qid, CAST(qno AS INTEGER) AS qno, raw_id, canonical_department FROM q""")
+SELECT printf('qh%04d', qno) AS qid, qno, raw_id, canonical_department FROM q""")
 def q_stratified_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = documents_corpus(spark, sf_dir)
     q = shuffle_ids(sample_by_targets(corpus, stratified_targets(corpus, STRATIFIED_N), SEED), SEED, "qh", 4)
@@ -46,18 +46,14 @@ def q_stratified_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def easy_sql() -> str:
-    n, h, r = EASY_N, EASY_HARD, EASY_RANDOM
+    h, r = EASY_HARD, EASY_RANDOM
     d0, d1 = QA_DEPARTMENTS
     return f"""
 {S.QA_RAW_CTE}, {S.load_cte('qa_raw', 'corpus')},
 c AS (SELECT * FROM corpus WHERE canonical_department IN ('{d0}', '{d1}')),
 sizes AS (SELECT canonical_department AS d, COUNT(*) AS m FROM c GROUP BY 1),
-tgt AS (SELECT d, LEAST(CASE WHEN d = '{d0}' THEN {n // 2} ELSE {n - n // 2} END, m) AS target FROM sizes),
-smp AS (SELECT x.* FROM (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY canonical_department
-                                                        ORDER BY {_md5('sample', 'raw_id')}) AS s FROM c) x
-        JOIN tgt ON tgt.d = x.canonical_department WHERE s <= target),
 q AS (SELECT *, printf('q%04d', ROW_NUMBER() OVER (ORDER BY {_md5('shuffle', 'raw_id')})) AS qid,
-             ROW_NUMBER() OVER (ORDER BY {_md5('shuffle', 'raw_id')}) AS qno FROM smp),
+             ROW_NUMBER() OVER (ORDER BY {_md5('shuffle', 'raw_id')}) AS qno FROM c),
 pool AS (SELECT canonical_department AS d, raw_id, context,
                 ROW_NUMBER() OVER (PARTITION BY canonical_department ORDER BY {_md5('pool', 'raw_id')}) - 1 AS pool_pos
          FROM c),

@@ -109,13 +109,14 @@ st AS (SELECT method, qid, MAX(s) AS m, SUM(y) AS npos, MAX(CASE WHEN y = 1 THEN
               MAX(CASE WHEN y = 1 THEN context_id END) AS c_pos FROM b GROUP BY method, qid HAVING SUM(y) = 1),
 pq AS (SELECT b.method, b.qid, MAX(st.m) + ln(SUM(exp(b.s - st.m))) - MAX(st.s_pos) AS ce,
               SUM(CASE WHEN b.s > st.s_pos OR (b.s = st.s_pos AND b.context_id < st.c_pos) THEN 1 ELSE 0 END) + 1 AS pos
-       FROM b JOIN st ON st.method = b.method AND st.qid = b.qid GROUP BY b.method, b.qid)
-SELECT method, round(AVG(ce), 6) AS loss, COUNT(*) AS num_groups,
+       FROM b JOIN st ON st.method = b.method AND st.qid = b.qid GROUP BY b.method, b.qid),
+al AS (SELECT method, COUNT(DISTINCT qid) AS n FROM b GROUP BY method)
+SELECT method, round(AVG(ce), 6) AS loss, COUNT(*) AS num_groups, MAX(n) - COUNT(*) AS num_left_out,
   round(AVG(CASE WHEN pos <= 1 THEN 1.0 ELSE 0.0 END), 6) AS val_p1,
   round(AVG(CASE WHEN pos <= 3 THEN 1.0 ELSE 0.0 END), 6) AS val_p3,
   round(AVG(CASE WHEN pos <= 5 THEN 1.0 ELSE 0.0 END), 6) AS val_p5,
   round(AVG(1.0 / pos), 6) AS val_mrr
-FROM pq GROUP BY method""")
+FROM pq JOIN al USING (method) GROUP BY method""")
 def q_listwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ranked_groups(spark, sf_dir)
     b = (ranked_raw_scores(g).join(ranked_candidates(g), ["qid", "context_id"])

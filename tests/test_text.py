@@ -1,75 +1,52 @@
-"""Text functions against plain-Python statements of the same rules, on hand-made rows."""
-
-import re
+"""Text functions on hand-made rows with literal expected values."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from rankscope.functions import text as T
 
-ROWS = [None, "", " ", "a", "  Hello\r\n  World\t ", "x　y z", "甲状腺癌 AB12 cd",
-        "emoji \U0001F600 here", "\x1c\x1dsep\x1f", "一", "Ab", "line1\nline2\n\nline3"]
-
-
-def py_clean(x):
-    t = "" if x is None else str(x)
-    return re.sub(r"\s+", " ", t.replace("\r", " ").replace("\n", " ")).strip()
-
-
-def py_bigrams(x):
-    chars = re.findall(r"[一-鿿A-Za-z0-9]", py_clean(x))
-    if len(chars) < 2:
-        return set(chars)
-    return {chars[i] + chars[i + 1] for i in range(len(chars) - 1)}
-
-
-def py_charset(x):
-    s = set(py_clean(x).lower())
-    s.discard(" ")
-    return s
+CLEAN = [(None, ""), ("", ""), (" ", ""), ("a", "a"), ("  Hello\r\n  World\t ", "Hello World"),
+         ("x\u3000y z", "x y z"), ("甲状腺癌 AB12 cd", "甲状腺癌 AB12 cd"), ("emoji \U0001F600 here", "emoji \U0001F600 here"),
+         ("\x1c\x1dsep\x1f", "sep"), ("line1\nline2\n\nline3", "line1 line2 line3")]
+BIGRAMS = [(None, []), ("a", ["a"]), ("一", ["一"]), ("Ab", ["Ab"]), ("x y z", ["xy", "yz"]),
+           ("甲状腺癌 A1", ["1", "A1", "甲状", "状腺", "腺癌", "癌A"][1:]), ("aaaa", ["aa"]), ("a-b", ["ab"]), ("!?", [])]
+CHARACTERS = [(None, ""), ("Ab bA", "ab"), ("a  \n b", "ab"), ("儿 科", "儿科")]
+#: left, right, overlap of bigrams, overlap of characters
+PAIRS = [("abc", "abd", 1 / 3, 2 / 4), ("abc", "abc", 1.0, 1.0), ("abc", None, 0.0, 0.0), ("", "", 0.0, 0.0),
+         ("a", "a", 1.0, 1.0), ("ab", "ba", 0.0, 1.0), ("Abcd", "abcd", 2 / 4, 1.0), ("儿科发烧", "发烧", 1 / 3, 2 / 4)]
 
 
-def jac(a, b):
-    return 0.0 if not a or not b else len(a & b) / len(a | b)
+def column(spark, values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
 
 
-@pytest.fixture(scope="module")
-def toy(spark):
-    return spark.createDataFrame([(i, r) for i, r in enumerate(ROWS)], "i int, t string")
+def test_clean_text(spark):
+    got = column(spark, [r for r, _ in CLEAN]).select("i", T.clean_text("t").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [w for _, w in CLEAN]
 
 
-def test_clean_text_matches_python(toy):
-    got = {r.i: r.c for r in toy.select("i", T.clean_text("t").alias("c")).collect()}
-    assert got == {i: py_clean(r) for i, r in enumerate(ROWS)}
+def test_bigrams(spark):
+    got = column(spark, [r for r, _ in BIGRAMS]).select("i", T.char_bigrams("t").alias("b")).orderBy("i").collect()
+    assert [sorted(r.b) for r in got] == [sorted(w) for _, w in BIGRAMS]
 
 
-def test_bigrams_and_jaccard(toy):
-    rows = toy.select("i", T.char_bigrams("t").alias("b"), T.char_set("t").alias("c")).collect()
-    for r in rows:
-        assert set(r.b) == py_bigrams(ROWS[r.i])
-        assert set(r.c) == py_charset(ROWS[r.i])
-    pairs = toy.alias("a").crossJoin(toy.alias("b")).select(
-        F.col("a.i").alias("x"), F.col("b.i").alias("y"), T.keyword_overlap("a.t", "b.t").alias("k"),
-        T.answer_jaccard("a.t", "b.t").alias("j")).collect()
-    for r in pairs:
-        assert r.k == pytest.approx(jac(py_bigrams(ROWS[r.x]), py_bigrams(ROWS[r.y])))
-        assert r.j == pytest.approx(jac(py_charset(ROWS[r.x]), py_charset(ROWS[r.y])))
+def test_character_sets(spark):
+    got = column(spark, [r for r, _ in CHARACTERS]).select("i", T.char_set("t").alias("c")).orderBy("i").collect()
+    assert [sorted(r.c) for r in got] == [sorted(w) for _, w in CHARACTERS]
 
 
-def py_context(t, a, b, n=900):
-    parts = []
-    for lab, v in zip(T.CONTEXT_LABELS, (t, a, b)):
-        v = py_clean(v)
-        if v:
-            parts.append(lab + v)
-    return py_clean("\n".join(parts))[:n]
+def test_overlaps(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(PAIRS)], "i int, a string, b string")
+    got = df.select("i", T.keyword_overlap("a", "b").alias("k"), T.answer_jaccard("a", "b").alias("j"))
+    for r in got.collect():
+        assert (r.k, r.j) == pytest.approx(PAIRS[r.i][2:])
 
 
 def test_make_context_and_truncate(spark):
+    one, two, three = T.CONTEXT_LABELS
     rows = [("T", "ask me", "answer"), (None, " q ", ""), ("", "", ""), ("x" * 10, "y" * 950, "z")]
+    want = [f"{one}T {two}ask me {three}answer", f"{two}q", "", f"{one}xxxxxxxxxx {two}".ljust(900, "y")]
     df = spark.createDataFrame(rows, "t string, a string, b string")
-    got = [r.c for r in df.select(T.make_context("t", "a", "b").alias("c")).collect()]
-    assert got == [py_context(*r) for r in rows]
+    assert [r.c for r in df.select(T.make_context("t", "a", "b").alias("c")).collect()] == want
     tr = [r.x for r in df.select(T.truncate_text("a", 5).alias("x")).collect()]
     assert tr == ["ask m...", " q ", "", "yyyyy..."]
     assert [r.x for r in df.select(T.truncate_text("t", 0).alias("x")).collect()] == ["T", "", "", "x" * 10]
