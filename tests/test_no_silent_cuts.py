@@ -95,3 +95,27 @@ def test_null_groups_are_numbered(spark):
     df = spark.range(40).select(F.when(F.col("id") % 2 == 0, F.lit("k")).alias("g"), "id")
     got = range_number(df, ["g"], [F.col("id").asc()], "n").orderBy("g", "id").collect()
     assert [r.n for r in got] == [*range(1, 21), *range(1, 21)]
+
+
+def qa_rows(spark, rows):
+    return spark.createDataFrame(rows, "canonical_department string, raw_id string, row_no long, ask string, "
+                                       "answer string, context string, answer_key string")
+
+
+def test_a_context_keeps_its_first_row_that_the_question_allows(spark):
+    from rankscope.operators.candidates import near_duplicate_pool
+
+    c = qa_rows(spark, [("d", "a_0", 0, "one", "first", "shared", "k1"), ("d", "a_1", 1, "two", "second", "shared", "k2"),
+                        ("d", "a_2", 2, "q", "first", "own", "k1"), ("d", "a_3", 3, "z", "zzz", "other", "k3")])
+    q = c.where("raw_id = 'a_2'").selectExpr("*", "'q1' as qid", "1 as qno")
+    assert near_duplicate_pool(c, q, 1, 0).first().n_pool == 2
+
+
+def test_too_few_negatives_raise(spark):
+    from rankscope.operators.candidates import build_hard_candidates
+
+    c = qa_rows(spark, [("d", f"a_{k}", k, f"ask {k}", f"answer {k}", f"context {k}", f"k{k}") for k in range(4)])
+    q = c.where("raw_id = 'a_2'").selectExpr("*", "'q1' as qid", "1 as qno")
+    assert build_hard_candidates(c, q, 2, 1).count() == 4
+    with pytest.raises(Exception, match="fewer than 4 negatives"):
+        build_hard_candidates(c, q, 2, 2).collect()
