@@ -117,7 +117,9 @@ def cogroup_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.split()[0]: [] for f in schema.split(",")})
+            kinds = {"string": "object", "long": "int64", "double": "float64"}
+            return pd.DataFrame({name: pd.Series([], dtype=kinds.get(kind, "object"))
+                                 for name, kind in (f.split() for f in schema.split(","))})
         return fn(lpdf, rpdf)
 
     return lrep.groupBy("_lb", "_rb").cogroup(rrep.groupBy("_lb", "_rb")).applyInPandas(run, schema)
