@@ -119,3 +119,13 @@ def test_too_few_negatives_raise(spark):
     assert build_hard_candidates(c, q, 2, 1).count() == 4
     with pytest.raises(Exception, match="fewer than 4 negatives"):
         build_hard_candidates(c, q, 2, 2).collect()
+
+
+def test_output_order_and_preview(spark, tmp_path):
+    from rankscope.sources.csv import preview, write_csv
+
+    df = spark.createDataFrame([("q2", "x" * 9), ("q1", "y"), ("q3", None)], "qid string, t string").repartition(3)
+    write_csv(df, str(tmp_path / "o"), ["qid"])
+    lines = [x for f in sorted((tmp_path / "o").glob("part-*")) for x in f.read_text().split()[1:]]
+    assert [x[:2] for x in lines] == ["q1", "q2", "q3"]
+    assert preview(df.orderBy("qid"), 2, 4) == [{"qid": "q1", "t": "y"}, {"qid": "q2", "t": "xxxx"}]
