@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankscope.functions.text import answer_key, clean_text, format_id, make_context
 from rankscope.operators.ranking import number_within
+from rankscope.sources.csv import path_exists, read_csv_auto
 
 RAW_COLUMNS = ("department", "title", "ask", "answer")
 CORPUS_COLUMNS = ["canonical_department", "raw_id", "row_no", "department", "title", "ask", "answer",
@@ -62,3 +63,13 @@ def load_sources(frames: dict[str, DataFrame], order: Sequence[str]) -> DataFram
         part = load_qa(raw, order, canonical=dept)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def load_source_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Canonical department -> CSV path; every missing path is named before anything is read."""
+    absent = [f"{d}: {p}" for d, p in paths.items() if not path_exists(spark, p)]
+    if absent:
+        raise FileNotFoundError(f"no source files at {', '.join(absent)}")
+    frames = {d: read_csv_auto(spark, p).withColumn("_line", F.monotonically_increasing_id())
+              for d, p in paths.items()}
+    return load_sources(frames, ["_line"])

@@ -92,6 +92,25 @@ def row_cosine(a: Column | str, b: Column | str) -> Column:
     return F.when((na * nb) > 0, dot / (na * nb)).otherwise(F.lit(0.0))
 
 
+def similarity(pairs: DataFrame, pair_key: str, left: str, right: str, backend: str = "tfidf",
+               out: str = "similarity") -> DataFrame:
+    """(pair_key, out) for the columns ``left`` and ``right`` of each row of ``pairs``.
+
+    ``backend`` "tfidf" takes texts and fits the weighting on both columns;
+    "vectors" takes stored dense vectors and gives their cosine.
+    """
+    if backend == "vectors":
+        return pairs.select(pair_key, row_cosine(left, right).alias(out))
+    if backend != "tfidf":
+        raise ValueError(f"unknown similarity backend {backend!r}; expected tfidf or vectors")
+    texts = (pairs.select(F.col(left).alias("t")).unionByName(pairs.select(F.col(right).alias("t")))
+             .groupBy("t").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.md5("t")))
+    vec = materialize(tfidf_vectors(texts, "k", "t", "m"))
+    keyed = pairs.select(pair_key, F.md5(left).alias("lk"), F.md5(right).alias("rk"))
+    return vector_dot(keyed, vec.withColumnRenamed("k", "lk"), vec.withColumnRenamed("k", "rk"),
+                      pair_key, "lk", "rk", out).select(pair_key, out)
+
+
 # --------------------------------------------------------------------------- blocks
 
 def block_counts(n_left: int, n_right: int, left_rows: int, right_rows: int) -> tuple[int, int]:

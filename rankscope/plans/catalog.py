@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # importing the modules registers their queries
-    from rankscope.plans import (builders, comparison, evaluation, hard_queries, io_queries,  # noqa: F401
+    from rankscope.plans import (builders, check_queries, comparison, evaluation, hard_queries, io_queries,  # noqa: F401
                                  quality_queries,
                                  scoring_queries, similarity_queries, text_queries)
 
