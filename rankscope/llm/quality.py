@@ -31,6 +31,8 @@ CHI_CUT = 23.5127
 SUBSET_SCATTER = 0.6692
 MIN_ROWS = 40
 STEPS = 12
+#: Parts into which a group's rows are dealt where they meet its estimate, so that a hot group is no one task.
+SALTS = 64
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,6 +89,12 @@ def statistic_vector(stats: DataFrame) -> DataFrame:
         "x_repeats": angle(F.col("q_repeat_words"), F.col("q_words"), PRIOR["words"])})
 
 
+def _meet(rows: DataFrame, per_group: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row per ``key``; rows carry _salt, the table is repeated for each salt."""
+    spread = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, [key, "_salt"], how)
+
+
 def _with_factor(est: DataFrame, names: list[str]) -> DataFrame:
     """Adds the Cholesky factor l_<i>_<j> of the scatter column by column, and its log determinant."""
     k = len(names)
@@ -134,9 +142,11 @@ def mcd_estimates(rows: DataFrame, names: list[str], floors: list[float], subset
     Rows with a null or non-finite statistic must be left out before.
     """
     k = len(names)
+    if "_salt" not in rows.columns:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
     mid = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"m_{i}") for i, x in enumerate(names)])
     mid = materialize(mid)
-    spread = (rows.join(mid, "g").groupBy("g")
+    spread = (_meet(rows, mid, "g").groupBy("g")
               .agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}")
                      for i, x in enumerate(names)]))
     start = mid.join(spread, "g")
@@ -147,9 +157,9 @@ def mcd_estimates(rows: DataFrame, names: list[str], floors: list[float], subset
     est = materialize(_with_factor(start, names))
     before = None
     for _ in range(steps):
-        near = _with_distance(rows.join(est, "g"), names, "d2").select("g", *names, "d2")
+        near = _with_distance(_meet(rows, est, "g"), names, "d2").select("g", "_salt", *names, "d2")
         cut = materialize(near.groupBy("g").agg(F.percentile_approx("d2", subset, 10_000).alias("cut")))
-        kept = near.join(cut, "g").where("d2 <= cut")
+        kept = _meet(near, cut, "g").where("d2 <= cut")
         est = materialize(_with_factor(_moments(kept, names, floors, SUBSET_SCATTER), names))
         now = est.agg(F.sum("logdet")).first()[0]
         if before is not None and now is not None and abs(before - now) < 1e-4:
@@ -166,7 +176,8 @@ def grouped(rows: DataFrame, lang_col: str, source_col: str, min_rows: int = MIN
     """
     lang = F.concat(F.lit("l:"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")))
     own = F.concat(lang, F.lit("\x1fs:"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    rows = rows.withColumns({"_lang": lang, "_own": own})
+    rows = rows.withColumns({"_lang": lang, "_own": own,
+                             "_salt": F.pmod(F.xxhash64("q_key"), F.lit(SALTS)).cast("int")})
     sizes = rows.groupBy("_lang", "_own").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_pooled", F.when(F.col("_n") < min_rows, F.col("_lang")))
     pooled = (sizes.where("_pooled is not null").groupBy("_lang")
@@ -174,7 +185,7 @@ def grouped(rows: DataFrame, lang_col: str, source_col: str, min_rows: int = MIN
     names = (sizes.join(pooled, "_lang", "left")
              .select("_own", F.when(F.col("_pooled").isNull(), F.col("_own"))
                      .when(F.col("_m").isNotNull(), F.col("_lang")).alias("g")))
-    return rows.join(materialize(names), "_own").drop("_lang", "_own")
+    return _meet(rows, materialize(names), "_own").drop("_lang", "_own")
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -196,8 +207,8 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     sound = grouped(rows.where("not base_failed").withColumns({"_g_lang": F.col(lang_col), "_g_src": F.col(source_col)}),
                     "_g_lang", "_g_src", min_rows).drop("_g_lang", "_g_src")
     sound = materialize(sound)
-    est = mcd_estimates(sound.where("g is not null").select("g", *names), names, floors)
-    judged = _with_distance(sound.join(est, "g", "left"), names, "distance2")
+    est = mcd_estimates(sound.where("g is not null").select("g", "_salt", *names), names, floors)
+    judged = _with_distance(_meet(sound, est, "g", "left"), names, "distance2")
     judged = judged.withColumn("kept", F.coalesce(F.col("distance2") <= cut, F.lit(True)))
     base = rows.where("base_failed").withColumns({"distance2": F.lit(None).cast("double"), "kept": F.lit(False)})
     cols = base.columns
