@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import round_metric, softplus, to_double_or
 from rankscope.operators.ranking import number_within, score_order, top_k
+from rankscope.session import materialize
 
 SUMMARY_COLUMNS = ["method", "num_eval_qids", "precision_at_1", "precision_at_3",
                    "precision_at_5", "mrr", "ndcg_at_5", "avg_latency_ms"]
@@ -33,7 +34,10 @@ def per_query_metrics(scores: DataFrame, candidates: DataFrame, ks: Sequence[int
     """
     s = scores.select("method", "qid", "context_id", F.col("rank").cast("double").alias("rank"))
     lab = candidates.select("qid", "context_id", F.col("label"))
-    j = s.join(lab, ["qid", "context_id"])
+    # read by three branches below: joined once
+    j = materialize(s.join(lab, ["qid", "context_id"]))
+    if j.isEmpty():
+        raise ValueError("no score row has a candidate with its qid and context_id")
     keys = ["method", "qid"]
     kmax = max(max(ks), ndcg_k)
     by_rank = top_k(j, keys, [F.col("rank").asc_nulls_last(), F.col("context_id").asc()], kmax)
