@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankscope.llm import bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes, warc
 from rankscope.llm.common import read_table
+from rankscope.llm.sql import secret_sql
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_secret_ownership": secret_sql()}
