@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.operators.candidates import CANDIDATE_COLUMNS, build_easy_candidates
+from rankscope.operators.candidates import CANDIDATE_COLUMNS, STRIDES, build_easy_candidates
 from rankscope.operators.sampling import sample_by_targets, shuffle_ids, stratified_targets
 from rankscope.plans import sql_text as S
 from rankscope.plans.catalog import register
@@ -28,6 +28,11 @@ def _hint(salt: str, key: str) -> str:
     return f"CAST('0x' || substring({_md5(salt, key)}, 1, 15) AS BIGINT)"
 
 
+def _stride(salt: str, size: str) -> str:
+    prime = f"([{', '.join(map(str, STRIDES))}])[1 + {_hint(salt + '_stride', 'qid')} % {len(STRIDES)}]"
+    return f"CASE WHEN CAST({prime} AS BIGINT) % {size} = 0 THEN 1 ELSE CAST({prime} AS BIGINT) % {size} END"
+
+
 @register("stratified_questions", f"""
 WITH {S.CORPUS_RAW_CTE}, {S.load_cte('corpus_raw', 'corpus')},
 depts AS (SELECT canonical_department AS d, ROW_NUMBER() OVER (ORDER BY canonical_department) - 1 AS i,
@@ -63,15 +68,16 @@ qp AS (SELECT q.qid, q.qno, q.ask, q.context, q.canonical_department AS d, p.poo
        LEFT JOIN sizes so ON so.d = CASE WHEN q.canonical_department = '{d0}' THEN '{d1}' ELSE '{d0}' END),
 qp2 AS (SELECT *, GREATEST(LEAST({h}, pool_size - 1), 0) AS nh, LEAST({r}, other_size) AS nr FROM qp),
 qp3 AS (SELECT *, SUM(1 + nh + nr) OVER (ORDER BY qno ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (1 + nh + nr) AS base,
-               {_hint('hard', 'qid')} % pool_size AS sh,
-               CASE WHEN other_size > 0 THEN {_hint('random', 'qid')} % other_size END AS sr
+               {_hint('hard', 'qid')} % pool_size AS sh, {_stride('hard', 'pool_size')} AS th,
+               CASE WHEN other_size > 0 THEN {_hint('random', 'qid')} % other_size END AS sr,
+               CASE WHEN other_size > 0 THEN {_stride('random', 'other_size')} END AS tr
         FROM qp2),
-hd AS (SELECT qid, base, d AS pd, (sh + j) % pool_size AS pos, CASE WHEN j < own_j THEN j ELSE j - 1 END + 1 AS slot,
+hj AS (SELECT *, (sh + j * th) % pool_size AS pos FROM (SELECT *, unnest(range(0, nh + 1)) AS j FROM qp3)),
+ho AS (SELECT *, MAX(CASE WHEN pos = pool_pos THEN j END) OVER (PARTITION BY qid) AS own FROM hj),
+hd AS (SELECT qid, base, d AS pd, pos, CASE WHEN j > own THEN j - 1 ELSE j END + 1 AS slot,
               'hard_negative' AS source_type
-       FROM (SELECT *, ((pool_pos - sh) % pool_size + pool_size) % pool_size AS own_j,
-                    unnest(range(0, nh + 1)) AS j FROM qp3)
-       WHERE j <> own_j AND (CASE WHEN j < own_j THEN j ELSE j - 1 END) < nh),
-rn AS (SELECT qid, base, od AS pd, (sr + j) % other_size AS pos, nh + 1 + j AS slot, 'random_negative' AS source_type
+       FROM ho WHERE pos <> pool_pos AND CASE WHEN j > own THEN j - 1 ELSE j END < nh),
+rn AS (SELECT qid, base, od AS pd, (sr + j * tr) % other_size AS pos, nh + 1 + j AS slot, 'random_negative' AS source_type
        FROM (SELECT *, unnest(range(0, nr)) AS j FROM qp3 WHERE nr > 0)),
 picked AS (SELECT x.qid, x.base, x.slot, p.context AS candidate_context, p.d AS department, x.source_type, 0 AS label
            FROM (SELECT * FROM hd UNION ALL SELECT * FROM rn) x JOIN pool p ON p.d = x.pd AND p.pool_pos = x.pos),
