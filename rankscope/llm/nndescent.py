@@ -134,7 +134,8 @@ def _candidates(lists: DataFrame, nodes: DataFrame, dim: int, k: int, round_no:
                                                                 F.count(F.lit(1)).alias("n")))
     ends = nodes.withColumnRenamed("node", "u").join(last, "u", "left").select(
         "u", "vec", F.when(F.col("n") >= k, F.greatest("last", F.lit(floor))).otherwise(floor).alias("last"))
-    rows = members.join(ends, "u")
+    # written before the join, so that Spark can split the rows of a vector that very many lists hold
+    rows = members.join(materialize(ends), "u")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         group = pd.factorize(pdf["v"])[0]
