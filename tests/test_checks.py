@@ -1,0 +1,69 @@
+"""Source files by path, missing ranks, similarity backends, and results that partitioning must not change."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankscope.operators.compare import BUCKETS, method_stats_long, method_stats_wide, missing_ranks, rank_buckets
+from rankscope.operators.corpus import load_source_files
+from rankscope.operators.metrics import evaluate_methods
+from rankscope.operators.quality import score_violations, split_leaks
+from rankscope.operators.similarity import similarity
+
+
+def test_sources_by_path(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("department,title,ask,answer\nx,t,q1,a1\nx,t,q1,a1\nx,,q2,a2\n")
+    (tmp_path / "b.csv").write_text("department,title,ask,answer\ny,t,q3,a3\ny,t,,a4\n")
+    paths = {"first": str(tmp_path / "a.csv"), "second": str(tmp_path / "b.csv")}
+    got = sorted((r.raw_id, r.ask) for r in load_source_files(spark, paths).collect())
+    assert got == [("first_000000", "q1"), ("first_000001", "q2"), ("second_000000", "q3")]
+    with pytest.raises(FileNotFoundError, match="third: "):
+        load_source_files(spark, {**paths, "third": str(tmp_path / "none.csv")})
+
+
+def test_similarity_backends(spark):
+    df = spark.createDataFrame([(1, "abc", "abc", [1.0, 0.0], [1.0, 1.0]), (2, "abc", "xyz", [0.0, 0.0], [1.0, 1.0])],
+                               "k int, a string, b string, x array<double>, y array<double>")
+    got = {r.k: r.similarity for r in similarity(df, "k", "a", "b").collect()}
+    assert got == pytest.approx({1: 1.0, 2: 0.0})
+    got = {r.k: r.similarity for r in similarity(df, "k", "x", "y", backend="vectors").collect()}
+    assert got == pytest.approx({1: 0.5 ** 0.5, 2: 0.0})
+    with pytest.raises(ValueError, match="backend"):
+        similarity(df, "k", "a", "b", backend="other")
+
+
+def scored(spark):
+    rows = [(m, q, c, float((q * 7 + c * 3 + k) % 11), 1 + (c + k + q) % 4)
+            for k, m in enumerate(("m1", "m2")) for q in range(12) for c in range(4)]
+    scores = spark.createDataFrame(rows, "method string, qid int, context_id int, score double, rank int")
+    cand = spark.createDataFrame([(q, c, int(c == q % 4)) for q in range(12) for c in range(4)],
+                                 "qid int, context_id int, label int")
+    return scores.withColumn("latency_ms", F.col("score") / 2), cand
+
+
+def test_buckets_add_up_and_partitions_do_not_matter(spark):
+    scores, cand = scored(spark)
+    positives = cand.withColumn("is_positive", F.col("label") == 1)
+    stats = method_stats_wide(method_stats_long(positives, scores, ["m1", "m2"]), ["m1", "m2"])
+    counts = {r.item: r["count"] for r in rank_buckets(stats, ["m1", "m2"]).collect()}
+    for m in ("m1", "m2"):
+        b = {x: counts[f"{m}_{x}"] for x in BUCKETS}
+        assert b["rank_1"] + b["rank_2_to_3"] + b["rank_4_to_5"] + b["rank_6_plus_or_missing"] == 12
+        assert b["top3_hit"] == b["rank_1"] + b["rank_2_to_3"]
+        assert b["top5_hit"] == b["top3_hit"] + b["rank_4_to_5"]
+    want = sorted(map(tuple, evaluate_methods(scores, cand).collect()))
+    assert want[0][-1] > 0  # latencies are not all nothing
+    for n in (1, 7):
+        assert sorted(map(tuple, evaluate_methods(scores.repartition(n), cand.repartition(n, "qid")).collect())) == want
+
+
+def test_checks_name_every_fault(spark):
+    scores, cand = scored(spark)
+    faults = score_violations(scores, ["m1"]).collect()
+    assert {(r.qid, r.detail) for r in faults} == {(str(q), "m2") for q in range(12)}
+    some = scores.where("not (method = 'm2' and context_id = 1)")
+    got = {r.method: r.n_missing for r in missing_ranks(cand, some, ["m1", "m2", "m3"]).collect()}
+    assert got == {"m1": 0, "m2": 12, "m3": 48}
+    split = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train")], "qid string, split string")
+    assert [r.qid for r in split_leaks(split).collect()] == ["a"]
+    with pytest.raises(ValueError, match="no score row"):
+        evaluate_methods(scores, cand.where("qid > 100"))
