@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from rankscope.session import materialize
 
-__all__ = ["connected_components", "materialize", "read_table", "text_key"]
+__all__ = ["connected_components", "materialize", "numbered", "read_table", "text_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... and the new names of ``used``.
+
+    Operators that carry all columns work on these names, so that a column of
+    the table can be called like one of the operator's own.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(u)] for u in used]
+
+
 def text_key(text: str | Column) -> Column:
     """128-bit digest of a text, hex; a null text and an empty one get different keys."""
     c = F.col(text) if isinstance(text, str) else text

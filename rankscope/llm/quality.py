@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import materialize, text_key
+from rankscope.llm.common import materialize, numbered, text_key
 
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -197,9 +197,11 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     the estimates.  Others are rejected where distance2 is above ``cut``; a
     row without an estimate (too few rows) is kept and has a null distance2.
     Null and empty texts fail the base; repeated rows are judged alike; an
-    empty table gives an empty one; column names beginning with q_, x_ or _
-    are the operator's own.
+    empty table gives an empty one; other columns pass through, whatever their
+    names, and the added ones come last.
     """
+    carried = [c for c in docs.columns if c != text_col]
+    docs, (text_col, lang_col, source_col) = numbered(docs, text_col, lang_col, source_col)
     names, floors = list(FLOORS), list(FLOORS.values())
     failed = (F.col("q_words") < 50) | (F.col("q_repeat_words") * 100 > F.col("q_words") * 50)
     rows = statistic_vector(text_statistics(docs, text_col)).withColumn("base_failed", failed)
@@ -212,15 +214,21 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     judged = judged.withColumn("kept", F.coalesce(F.col("distance2") <= cut, F.lit(True)))
     base = rows.where("base_failed").withColumns({"distance2": F.lit(None).cast("double"), "kept": F.lit(False)})
     cols = base.columns
-    return judged.select(*cols).unionByName(base).drop(*names)
+    out = judged.select(*cols).unionByName(base).drop(*names)
+    own = [c for c in docs.columns if c != text_col]
+    added = [c for c in out.columns if c not in own]
+    return out.select(*own, *added).toDF(*carried, *added)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
               source_col: str = "source", min_rows: int = MIN_ROWS, cut: float = CHI_CUT) -> DataFrame:
     """The rows of ``docs`` (all columns) that the verdict keeps.
 
-    Rows equal in id and text share a fate: one rejected rejects all.
+    Rows equal in id and text share a fate: one rejected rejects all.  Other
+    columns pass through, whatever their names.
     """
+    names = docs.columns
+    docs, (id_col, text_col, lang_col, source_col) = numbered(docs, id_col, text_col, lang_col, source_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     verdicts = quality_verdicts(rows, "text", "lang", "source", min_rows, cut)
@@ -228,4 +236,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                       .distinct())
     keyed = docs.withColumn("_text_key", text_key(text_col))
     return (keyed.join(bad, keyed[id_col].eqNullSafe(bad["_id"]) & (keyed["_text_key"] == bad["_key"]), "left_anti")
-            .drop("_text_key"))
+            .drop("_text_key").toDF(*names))

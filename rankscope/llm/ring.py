@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import materialize
+from rankscope.llm.common import materialize, numbered
 from rankscope.session import num_partitions
 
 SHARDS = 8
@@ -116,6 +116,9 @@ def assign_shards(items: DataFrame, key_col: str, size_col: str | None = None, s
     """
     if shards < 1 or vnodes < 1 or epsilon < 0:
         raise ValueError("shards and vnodes must be positive, epsilon not negative")
+    names = items.columns
+    items, used = numbered(items, key_col, *([size_col] if size_col else []))
+    key_col, size_col = used[0], used[1] if size_col else None
     points = ring_points(shards, vnodes)
     owner = F.array(*[F.lit(s) for _, s in points])
     rows = items.withColumn("_hash", F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(key_col).cast("string")),
@@ -139,4 +142,4 @@ def assign_shards(items: DataFrame, key_col: str, size_col: str | None = None, s
     return (placed.join(F.broadcast(runs), ["shard", "_arc"])  # the same bound
             .withColumn("slot", (F.col("_s0") + F.col("rank") - F.col("_r0")).cast("long"))
             .withColumn("home_shard", F.get(owner, F.col("_arc")))
-            .select(*items.columns, "home_shard", "shard", "slot"))
+            .select(*items.columns, "home_shard", "shard", "slot").toDF(*names, "home_shard", "shard", "slot"))

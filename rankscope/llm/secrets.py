@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import materialize, text_key
+from rankscope.llm.common import materialize, numbered, text_key
 
 #: Kinds in their order, pattern, the group that holds the value, and its least length.
 KINDS = [
@@ -150,8 +150,10 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """``docs`` (all columns) with every secret value masked that is no widely copied example.
 
     Overlapping values become one mask.  Rows and their number do not change;
-    a null text stays null.
+    a null text stays null; other columns pass through, whatever their names.
     """
+    names = docs.columns
+    docs, (id_col, text_col, owner_col, *repo_cols) = numbered(docs, id_col, text_col, owner_col, *repo_cols)
     rows = judged_spans(docs, id_col, text_col, owner_col, repo_cols, example_owners)
     rows = rows.where("kind is not null and verdict <> 'example'").select("id", "key", "value_start", "end").distinct()
     order = Window.partitionBy("id", "key").orderBy("value_start", "end")
@@ -172,4 +174,4 @@ def mask_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     end = F.element_at(c, -1)["b"].cast("int")
     tail = F.array_join(F.slice(chars, end + 1, F.size(chars)), "")
     text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return wide.withColumn(text_col, text).select(*docs.columns)
+    return wide.withColumn(text_col, text).select(*docs.columns).toDF(*names)

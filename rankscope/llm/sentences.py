@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import materialize
+from rankscope.llm.common import materialize, numbered
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -101,8 +101,11 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text stays null and an empty one empty, with no sentence; of one text that
     repeats a run the first place stays; rows equal in id and text are one
     document and all get its result; a null id counts as the last one; an
-    empty table gives an empty one.  Other columns pass through.
+    empty table gives an empty one.  Other columns pass through, whatever
+    their names; the added ones come last.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     gone = repeated_runs(docs, id_col, text_col, min_sentences, min_words)
     gone = (gone.groupBy("id", "tk").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_runs"))
             .select(F.col("id").alias("_id"), F.col("tk").alias("_tk2"), "_runs"))
@@ -135,4 +138,5 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     wide = wide.withColumn("_cut", cut(F.col(text_col).cast("string"), F.col("_runs")))
     cols = [F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return wide.select(*cols, *[F.col(f"_cut.{c}").alias(out + c) for c in ("n_sentences", "n_removed", "spans")])
+    added = ["n_sentences", "n_removed", "spans"]
+    return wide.select(*cols, *[F.col(f"_cut.{c}") for c in added]).toDF(*names, *[out + c for c in added])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import connected_components, materialize, text_key
+from rankscope.llm.common import connected_components, materialize, numbered, text_key
 from rankscope.session import num_partitions
 
 SHINGLE = 3
@@ -248,6 +248,8 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     among texts of one id the one with the smallest digest.  Of rows equal in
     id and text one stays.  An empty table gives an empty one.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     fps, roots = _components(docs, id_col, text_col, shingle, radius, seed)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     ids = fps.groupBy("fp").agg(first.alias("best"))
@@ -258,4 +260,4 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     kept = rows.join(best, rows[id_col].eqNullSafe(best["_id"]) & (rows["_text_key"] == best["_key"]), "left_semi")
     if not fps.groupBy("id", "key").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, "_text_key"])
-    return kept.drop("_text_key")
+    return kept.drop("_text_key").toDF(*names)

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankscope.llm.common import numbered
 from rankscope.session import num_partitions
 
 LENGTH = 200
@@ -261,8 +262,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     are judged on the input.  A null text is an empty one, with nothing to
     remove; a text shorter than ``length`` stays whole; repeated rows are
     documents of their own, so that long enough ones go wholly; an empty table
-    gives an empty one; no other column is read.
+    gives an empty one; other columns pass through, whatever their names, and
+    the added ones come last.
     """
+    carried = [c for c in docs.columns if c != text_col]
+    docs, (text_col,) = numbered(docs, text_col)
     key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     spans = repeated_spans(docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text")), length, window)
     wide = docs.withColumn("_k", key).join(spans.withColumnRenamed("k", "_k"), "_k", "left")
@@ -279,5 +283,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     rest = [c for c in docs.columns if c != text_col]
     wide = wide.withColumn("_cut", cut(F.col(text_col).cast("string"), F.col("spans")))
-    return wide.select(*rest, F.col("spans").alias(out + "spans"),
-                       *[F.col(f"_cut.{c}").alias(out + c) for c in ("n_bytes", "n_removed", "n_spans", "kept")])
+    added = ["n_bytes", "n_removed", "n_spans", "kept"]
+    return (wide.select(*rest, "spans", *[F.col(f"_cut.{c}") for c in added])
+            .toDF(*carried, out + "spans", *[out + c for c in added]))

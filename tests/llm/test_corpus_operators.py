@@ -32,6 +32,37 @@ def small(spark):
     return spark.read.parquet(f"{SF_SMALL}/documents.parquet")
 
 
+def test_columns_may_be_called_like_the_operators_own(spark):
+    texts = ["One two three four five. Six seven eight nine ten eleven twelve thirteen fourteen.", None, "",
+             "token = abcdef123456 and more words here"]
+    clash = ["_tk", "_runs", "_cut", "_id", "_key", "_text_key", "_salt", "q_key", "kept", "spans", "sd_spans", "fp",
+             "component_id", "shard", "slot", "_arc", "_hash", "g", "n", "key", "id", "h", "k", "_k", "_chars", "_cuts"]
+    df = docs_of(spark, texts).selectExpr("*", *[f"'{c}' as `{c}`" for c in clash])
+    for out in (quality.keep_good(df), simhash.keep_one_per_component(df), secrets.mask_live(df)):
+        assert out.columns == df.columns
+        assert all(tuple(r)[5:] == tuple(clash) for r in out.collect())
+    cut = sentences.remove_repeated_spans(df)
+    assert cut.columns == [*df.columns, "sd_n_sentences", "sd_n_removed", "sd_spans"]
+    assert all(tuple(r)[5:-3] == tuple(clash) for r in cut.collect())
+    judged = quality.quality_verdicts(df)
+    assert all(tuple(r)[4:4 + len(clash)] == tuple(clash) for r in judged.collect())
+    dealt = ring.assign_shards(df, "doc_id", shards=2, epsilon=0)
+    assert all(tuple(r)[5:-3] == tuple(clash) for r in dealt.collect()) and dealt.count() == 4
+    whole = suffixes.remove_repeats(df)
+    assert all(tuple(r)[4:4 + len(clash)] == tuple(clash) for r in whole.collect())
+    assert simhash.simhash_components(df).count() == secrets.scan_secrets(df).count() == packing.pack(df).count() == 4
+
+
+def test_secret_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    want = con.execute(E.oracle_sql()["op4_secret_ownership"]).df().sort_values("doc_id")
+    got = E.queries()["op4_secret_ownership"](spark, SF_SMALL).toPandas().sort_values("doc_id")[want.columns]
+    assert got.to_numpy().tolist() == want.to_numpy().tolist()
+
+
 def test_catalogue_has_every_operator():
     names = E.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
