@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "to_double_or", "strict_double", "round_metric", "capped_length", "length_ratio",
+    "to_double_or", "round_metric", "capped_length", "length_ratio",
     "match_indicator", "sigmoid", "softplus", "nan_to_null",
 ]
 
@@ -21,11 +21,6 @@ def to_double_or(x: Column | str, default: float = 0.0) -> Column:
     return F.coalesce(F.nanvl(d, F.lit(default)), F.lit(default))
 
 
-def strict_double(x: Column | str) -> Column:
-    """ANSI cast: unparsable text raises, missing passes through as null."""
-    return _c(x).cast("double")
-
-
 def nan_to_null(x: Column | str) -> Column:
     c = _c(x).cast("double")
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
