@@ -4,14 +4,17 @@ A neighbour graph of bounded lists starts from rows that lie together in
 several random hyperplane orders, and is refined by joins of the neighbours of
 neighbours: each vector meets its neighbours' and reverse neighbours' vectors
 in one group, and pairs that improve a list are kept.  The graph's links are
-audited against brute force on a bounded sample of vectors, and rounds go on
-until the audit is content.  Lists that are full of links are saturated: they
-are enlarged once, and the components that still hold saturated lists are
-compared whole, in blocks, so that no list length limits the result.
+audited against brute force on a sample that holds enough linked vectors, and
+rounds, each with fresh orders besides the joins, go on until the audit is
+content; where rounds no longer bring it nearer, all vectors are compared, in
+blocks.  Lists that are full of links are saturated: they are enlarged and
+audited in the same way, and the components that still hold saturated lists
+are compared whole, in blocks, so that no list length limits the result.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +28,16 @@ from rankscope.session import num_partitions
 THRESHOLD = 0.9
 K, LARGE_K = 10, 40
 ORDERS, BITS, RUN = 8, 24, 128
-#: Vectors of the audit's sample; the recall below which another round is made; rounds at most.
-AUDIT_ROWS, AUDIT_RECALL, MAX_ROUNDS = 1024, 0.97, 8
-BLOCK = 256
+#: Vectors up to which ORDERS orders do, and the power of the table's size by which more are taken above: a pair at
+#: cosine 0.9 agrees on a hyperplane's sign with probability 0.856, and an order must agree on a bit more per doubling.
+ORDERS_ROWS, ORDERS_POWER = 40_000, 0.224
+#: Vectors of the audit's first sample, linked vectors it must hold (else it grows), and its largest size; target recall.
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST, AUDIT_RECALL = 1024, 256, 65_536, 0.97
+#: Rounds that must together close the given share of the gap to the target; else all vectors are compared.
+STALL_ROUNDS, STALL_SHARE = 3, 0.1
+BLOCK, WHOLE_BLOCK = 256, 2048
+
+_log = logging.getLogger(__name__)
 
 
 def _unit(vecs: pd.Series, dim: int) -> np.ndarray:
@@ -82,13 +92,18 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return materialize(one.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
 
 
-def _start(nodes: DataFrame, dim: int, k: int, seed: int) -> DataFrame:
-    """First lists: the k nearest within runs of RUN rows, in each of ORDERS orders by hyperplane signs."""
+def _orders(n: int) -> int:
+    """Hyperplane orders for ``n`` vectors."""
+    return round(ORDERS * max(1.0, (n / ORDERS_ROWS) ** ORDERS_POWER))
+
+
+def _near_in_orders(nodes: DataFrame, dim: int, k: int, seed: int | list[int], orders: int) -> DataFrame:
+    """(v, u, sim, new): the k nearest within runs of RUN rows, in each of ``orders`` orders by hyperplane signs."""
 
     @F.pandas_udf("array<long>")
     def codes(vecs: pd.Series) -> pd.Series:
-        planes = np.random.default_rng(seed).normal(size=(dim, ORDERS * BITS))
-        signs = (_unit(vecs, dim) @ planes > 0).reshape(len(vecs), ORDERS, BITS)
+        planes = np.random.default_rng(seed).normal(size=(dim, orders * BITS))
+        signs = (_unit(vecs, dim) @ planes > 0).reshape(len(vecs), orders, BITS)
         return pd.Series(list((signs * (1 << np.arange(BITS - 1, -1, -1))).sum(axis=2)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +130,7 @@ def _start(nodes: DataFrame, dim: int, k: int, seed: int) -> DataFrame:
     rows = (nodes.select("node", "vec", F.posexplode(codes("vec")).alias("order", "code"))
             .repartitionByRange(num_partitions(nodes.sparkSession), "order", "code", "node")
             .sortWithinPartitions("order", "code", "node"))
-    return _best(rows.mapInPandas(near, "v long, u long, sim double, new boolean"), k)
+    return rows.mapInPandas(near, "v long, u long, sim double, new boolean")
 
 
 def _candidates(lists: DataFrame, nodes: DataFrame, dim: int, k: int, round_no: int,
@@ -170,31 +185,45 @@ def links_of(lists: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
 
 
-def audit(nodes: DataFrame, links: DataFrame, dim: int, threshold: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
-    """(links found, links there are) of the ``rows`` vectors smallest by hash, by brute force over all vectors.
+def linked_sample(nodes: DataFrame, dim: int, threshold: float, n: int) -> DataFrame:
+    """(q, n): the links by brute force over all vectors, of those with links among the vectors smallest by hash.
 
-    Saturated vectors' lists are completed later, so of each vector at most K
-    links count as there.
+    The sample grows until AUDIT_LINKED of its vectors have links, up to
+    AUDIT_MOST vectors or the whole table.
+    """
+    rows = AUDIT_ROWS
+    while True:
+        asked = nodes.orderBy(F.xxhash64("node", F.lit(17))).limit(rows).select("node", "vec").toPandas()  # bounded
+        ids = asked["node"].to_numpy()
+        x = _unit(asked["vec"], dim) if len(ids) else np.zeros((0, dim))
+
+        def near(batches: Iterator[pd.DataFrame], x: np.ndarray = x, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                y, far = _unit(pdf["vec"], dim), pdf["node"].to_numpy()
+                for a in range(0, len(ids), 2048):
+                    found = y @ x[a:a + 2048].T >= threshold
+                    found &= far[:, None] != ids[None, a:a + 2048]
+                    n = found.sum(axis=0)
+                    yield pd.DataFrame({"q": ids[a:a + 2048][n > 0], "n": n[n > 0]})
+
+        true = (nodes.select("node", "vec").mapInPandas(near, "q long, n long")
+                .groupBy("q").agg(F.sum("n").alias("n")))
+        true = materialize(true)
+        if rows >= min(n, AUDIT_MOST) or true.count() >= AUDIT_LINKED:
+            return true
+        rows *= 4
+
+
+def audit(true: DataFrame, links: DataFrame, most: int) -> tuple[int, int]:
+    """(links found, links there are) of the sample's vectors; of each vector at most ``most`` links count as there.
+
+    Saturated vectors' lists, which hold no more, are completed later.
     """
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(17))).limit(rows).select("node", "vec").toPandas()  # bounded
-    if not len(asked):
-        return 0, 0
-    x, ids = _unit(asked["vec"], dim), asked["node"].to_numpy()
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            i, j = np.nonzero(_unit(pdf["vec"], dim) @ x.T >= threshold)
-            far = pdf["node"].to_numpy()
-            apart = far[i] != ids[j]
-            yield pd.DataFrame({"q": ids[j][apart], "o": far[i][apart]})
-
-    true = nodes.select("node", "vec").mapInPandas(near, "q long, o long")
-    there = true.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     ends = links.select(F.col("a").alias("q")).union(links.select("b"))
     found = ends.groupBy("q").agg(F.count(F.lit(1)).alias("f"))
-    row = (there.join(found, "q", "left")
-           .agg(F.sum(F.least("n", F.lit(K))),
-                F.sum(F.least(F.coalesce("f", F.lit(0)), F.least("n", F.lit(K)))))).first()
+    row = (true.join(found, "q", "left")
+           .agg(F.sum(F.least("n", F.lit(most))),
+                F.sum(F.least(F.coalesce("f", F.lit(0)), F.least("n", F.lit(most)))))).first()
     return int(row[1] or 0), int(row[0] or 0)
 
 
@@ -219,6 +248,40 @@ def _block_counts(members: DataFrame, dim: int, threshold: float) -> DataFrame:
             .groupBy("node").agg(F.sum("weight").alias("weight")))
 
 
+def _compare_whole(nodes: DataFrame, dim: int, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Over all pairs of ``nodes`` (node, size, vec): (a, b) that connect what links connect, and (node, weight).
+
+    Rows are dealt by hash to blocks, and each pair of blocks is a task; a
+    task emits one connection and one weight per row, never its pairs.
+    """
+    blocks = max(1, -(-n // WHOLE_BLOCK))
+    rows = (nodes.select("node", "size", "vec", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("mine"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine",
+                    "node", "size", "vec"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, mine = _unit(pdf["vec"], dim), pdf["mine"].to_numpy()
+        near = x @ x.T >= threshold
+        np.fill_diagonal(near, False)
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            near &= mine[:, None] != mine[None, :]
+        some = np.flatnonzero(near.any(axis=1))
+        near, ids, size = near[np.ix_(some, some)], pdf["node"].to_numpy()[some], pdf["size"].to_numpy()[some]
+        low = np.arange(len(some))
+        while len(some):
+            least = np.minimum(low, np.where(near, low[None, :], len(some)).min(axis=1))
+            least = least[least]
+            if (least == low).all():
+                break
+            low = least
+        return pd.DataFrame({"a": ids, "b": ids[low], "weight": near @ size})
+
+    made = materialize(rows.groupBy("i", "j").applyInPandas(compare, "a long, b long, weight long"))
+    return (made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+            made.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("weight")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
                     k: int = K, large_k: int = LARGE_K, seed: int = 7) -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id, kept.
@@ -236,16 +299,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     whole = rows.where("vec is not null")
     classes = whole.groupBy("vec").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("min_id"))
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    vecs = nodes.select("node", "vec")
-    edges, dense = _graph(vecs, dim, threshold, k, large_k, seed)
+    edges, dense, counted = _graph(nodes, dim, threshold, k, large_k, seed)
     comp = materialize(connected_components(edges, "a", "b"))
     named = (nodes.join(comp, "node", "left")
              .select("node", "vec", "size", "min_id", F.coalesce("component", "node").alias("comp")))
     named = materialize(named)
-    full = named.join(dense, "node", "left_semi").select("comp").distinct()
-    sizes = materialize(named.join(full, "comp", "left_semi").groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
-    members = named.join(sizes, "comp")
-    counted = _block_counts(members, dim, threshold)
+    if counted is None:
+        full = named.join(dense, "node", "left_semi").select("comp").distinct()
+        sizes = materialize(named.join(full, "comp", "left_semi").groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+        members = named.join(sizes, "comp")
+        counted = _block_counts(members, dim, threshold)
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     size_of = nodes.select(F.col("node").alias("other"), "size")
     listed = (both.join(size_of, "other").groupBy("node").agg(F.sum("size").alias("listed")))
@@ -261,28 +324,53 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
-def _graph(vecs: DataFrame, dim: int, threshold: float, k: int, large_k: int,
-           seed: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), and the nodes whose enlarged lists are still full of links."""
-    lists = _start(vecs, dim, k, seed)
-    for number in range(MAX_ROUNDS):
-        more = _candidates(lists, vecs, dim, k, number).withColumn("new", F.lit(True))
-        lists = _best(more.union(lists.select("v", "u", "sim", F.lit(False))), k)
-        edges = materialize(links_of(lists, threshold))
-        found, there = audit(vecs, edges, dim, threshold)
-        if found >= AUDIT_RECALL * there:
-            break
+def _graph(nodes: DataFrame, dim: int, threshold: float, k: int, large_k: int,
+           seed: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Links (a, b), and the nodes whose enlarged lists are still full of links.
+
+    Where rounds stall below AUDIT_RECALL: connections (a, b), None, and the
+    weights (node, weight) of all nodes with links, by comparing all pairs.
+    """
+    vecs = nodes.select("node", "vec")
+    n = nodes.count()
+    orders = _orders(n)
+    true = linked_sample(vecs, dim, threshold, n)
+
+    def refine(lists: DataFrame, size: int, first: int, only: DataFrame | None = None,
+               floor: float = -1.0) -> tuple[DataFrame, DataFrame, int, bool]:
+        """(lists, links, next round, whether the audit is content) after rounds with lists of ``size``."""
+        known: list[int] = []
+        number = first
+        while True:
+            more = _candidates(lists, vecs, dim, size, number, only, floor).withColumn("new", F.lit(True))
+            if known:
+                more = more.union(_near_in_orders(vecs, dim, size, [seed, number], orders))
+            lists = _best(more.union(lists.select("v", "u", "sim", F.lit(False))), size)
+            edges = materialize(links_of(lists, threshold))
+            found, there = audit(true, edges, size)
+            _log.info("round %d, lists of %d: %d of %d audited links found", number, size, found, there)
+            known.append(found)
+            number += 1
+            if found >= AUDIT_RECALL * there:
+                return lists, edges, number, True
+            before = known[-1 - STALL_ROUNDS] if len(known) > STALL_ROUNDS else None
+            if before is not None and found - before < STALL_SHARE * (AUDIT_RECALL * there - before):
+                return lists, edges, number, False
+
+    lists = _best(_near_in_orders(vecs, dim, k, seed, orders), k)
+    lists, edges, number, good = refine(lists, k, 0)
 
     def saturated(size: int) -> DataFrame:
         near = lists.where(F.col("sim") >= threshold).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         return materialize(near.where(F.col("n") >= size).select("v"))
 
     full = saturated(k)
-    if not full.isEmpty():
-        every = lists.withColumn("new", F.lit(True))
+    if good and not full.isEmpty():
         below = float(np.nextafter(threshold, -1))
-        more = _candidates(every, vecs, dim, large_k, MAX_ROUNDS, full, below).withColumn("new", F.lit(True))
-        lists = _best(more.union(lists.select("v", "u", "sim", F.lit(False))), large_k)
-        edges = materialize(links_of(lists, threshold))
+        lists, edges, number, good = refine(lists.withColumn("new", F.lit(True)), large_k, number, full, below)
         full = saturated(large_k)
-    return edges, full.withColumnRenamed("v", "node")
+    if not good:
+        _log.warning("rounds stall below a recall of %s: all %d vectors are compared", AUDIT_RECALL, n)
+        edges, counted = _compare_whole(nodes, dim, threshold, n)
+        return edges, None, counted
+    return edges, full.withColumnRenamed("v", "node"), None

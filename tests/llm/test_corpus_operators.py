@@ -284,6 +284,41 @@ def test_nn_descent_links(spark):
     assert nndescent.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("stall", [3, 0])
+def test_nn_descent_reaches_its_recall_from_a_poor_start(spark, monkeypatch, stall):
+    """Runs of 2 rows in one order meet few pairs."""
+    monkeypatch.setattr(nndescent, "ORDERS", 1)
+    monkeypatch.setattr(nndescent, "RUN", 2)
+    monkeypatch.setattr(nndescent, "STALL_ROUNDS", stall, raising=False)  # 0: all pairs after the first round
+    monkeypatch.setattr(nndescent, "WHOLE_BLOCK", 300, raising=False)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(700, 64))
+    hub = rng.normal(size=64) + rng.normal(size=(30, 64)) * 0.1
+    x = np.vstack([base, base + rng.normal(size=(700, 64)) * 0.4, hub, hub[:2]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    got = got.set_index("id").sort_index()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 1400 and (got.n_links <= near.sum(1)).all()
+    assert got.n_links.sum() >= 0.97 * near.sum()
+    if not stall:
+        assert (got.n_links == near.sum(1)).all()
+        want = connected_components(spark.createDataFrame(np.argwhere(near).tolist(), "u long, v long")).toPandas()
+        assert (got.component_id[want.node] == want.component.to_numpy()).all()
+
+
+def test_nn_descent_audits_enough_linked_vectors(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "AUDIT_ROWS", 8)
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    x[-300:] = x[:300] * 2 + 0.001
+    rows = [(i, v.tobytes()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, vec binary")
+    true = nndescent.linked_sample(nodes, 32, 0.9, len(rows)).toPandas()
+    assert len(true) >= nndescent.AUDIT_LINKED and (true.n == 1).all()
+
+
 # 6 BPE
 
 
