@@ -1,9 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-From every sentence of every text starts one run: the shortest one of at least
-``min_sentences`` sentences with at least ``min_words`` words together.  Runs
-are hashed, joined over the corpus, and each sentence that a run covers which
-is not the first of its equals (by document id, then place) is removed.
+A run is at least ``min_sentences`` sentences with at least ``min_words`` words
+together.  For every sentence of every text the shortest run that starts with
+it and the shortest one that ends with it are hashed: together they cover every
+sentence of any run that repeats.  They are joined over the corpus, and each
+sentence that a run covers which is not the first of its equals (by document
+id, then place) is removed.
 """
 
 from __future__ import annotations
@@ -36,39 +38,57 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
+def shortest_runs(words: list[int], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest run that starts with each sentence of so many words, and of that which ends with it.
+
+    Of a run R from a to b every sentence i lies in one of these within R: in
+    the shortest that starts with a, or else that one ends before i, so that
+    the shortest that ends with i starts at a or later.
+    """
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = np.arange(len(words))
+    last = np.maximum(n + min_sentences, np.searchsorted(total, total[:-1] + min_words, "left"))
+    first = np.minimum(n + 1 - min_sentences, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+    return sorted({(i, k) for i, k in zip(n.tolist(), last.tolist()) if k <= len(words)}
+                  | {(i, k + 1) for i, k in zip(first.tolist(), n.tolist()) if i >= 0})
+
+
 def runs(text: str, min_sentences: int = MIN_SENTENCES,
          min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences with a word, and runs (first, number of sentences, 16-byte digest).  White space is normalised."""
-    spans, digests, upto = [], [], [0]
+    spans, digests, counts = [], [], []
     for a, b in pieces(text):
         words = text[a:b].split()
         if words:
             spans.append((a, b))
             digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-            upto.append(upto[-1] + len(words))
-    total = np.array(upto)
-    n = np.arange(len(spans))
-    last = np.maximum(n + min_sentences, np.searchsorted(total, total[:-1] + min_words, "left"))
+            counts.append(len(words))
     return spans, [(i, k - i, xxhash.xxh3_128_digest(b"".join(digests[i:k])))
-                   for i, k in zip(n.tolist(), last.tolist()) if k <= len(spans)]
+                   for i, k in shortest_runs(counts, min_sentences, min_words)]
 
 
 def _emit(min_sentences: int, min_words: int):
+    """mapInPandas body: a row for each place where runs start, with half the shortest one's digest (head) and all runs.
+
+    Of the runs from one place the shortest is a part of all others, so they repeat only where it does.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            digests, at, n, counts = [], [], [], []
+            heads, found, at, counts = [], [], [], []
             for text in pdf["text"]:
-                found = runs(text, min_sentences, min_words)[1] if text else []
-                counts.append(len(found))
-                for i, k, d in found:
-                    digests.append(d)
-                    at.append(i)
-                    n.append(k)
-            h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                mine = runs(text, min_sentences, min_words)[1] if text else []
+                before = len(at)
+                for i, k, d in mine:
+                    if len(at) == before or at[-1] != i:
+                        heads.append(d[:8])
+                        at.append(i)
+                        found.append(b"")
+                    found[-1] += d + k.to_bytes(4, "big")
+                counts.append(len(at) - before)
             rows = np.repeat(np.arange(len(pdf)), counts)
-            yield pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "id": pdf["id"].array.take(rows),
-                                "tk": pdf["tk"].to_numpy()[rows], "at": np.array(at, dtype=np.int32),
-                                "n": np.array(n, dtype=np.int32)})
+            yield pd.DataFrame({"head": np.frombuffer(b"".join(heads), dtype="<i8"), "id": pdf["id"].array.take(rows),
+                                "tk": pdf["tk"].to_numpy()[rows], "at": np.array(at, dtype=np.int32), "runs": found})
 
     return run
 
@@ -80,14 +100,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     spans = rows.mapInPandas(_emit(min_sentences, min_words),
-                             f"h1 long, h2 long, id {id_type}, tk long, at int, n int")
+                             f"head long, id {id_type}, tk long, at int, runs binary")
     # Half of the digest finds what may repeat, so that only those runs are carried further.
-    often = materialize(spans.groupBy("h1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1"))
-    some = materialize(spans.join(often, "h1", "left_semi").repartition("id", "tk"))
+    often = materialize(spans.groupBy("head").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("head"))
+    some = spans.join(often, "head", "left_semi")
+    some = some.withColumn("k", F.explode(F.expr("sequence(0, length(runs) - 20, 20)")))
+    some = some.selectExpr("substring(runs, k + 1, 16) AS h", "id", "tk", "at",
+                           "cast(conv(hex(substring(runs, k + 17, 4)), 16, 10) AS int) AS n")
+    some = materialize(some.repartition("id", "tk"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "tk", "at")
-    first = materialize(some.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    first = materialize(some.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
                         .where("c > 1").drop("c"))
-    return (some.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    return (some.join(first, "h").where(place != F.col("first"))
             .select("id", "tk", "at", "n").distinct())
 
 

@@ -143,6 +143,40 @@ def test_sentence_spans(spark, small):
     assert sentences.remove_repeated_spans(df.limit(0)).count() == 0
 
 
+def brute_all_runs(texts):
+    """Sentences removed of each text when every run of at least 2 sentences and 20 words counts."""
+    seen, out = set(), []
+    for text in texts:
+        units = [u for u in (text[a:b].split() for a, b in sentences.pieces(text)) if u]
+        drop = set()
+        for a in range(len(units)):
+            for b in range(a + 2, len(units) + 1):
+                if sum(map(len, units[a:b])) >= 20:
+                    run = tuple(map(tuple, units[a:b]))
+                    if run in seen:
+                        drop.update(range(a, b))
+                    seen.add(run)
+        out.append(len(drop))
+    return out
+
+
+def test_sentence_spans_cover_whole_runs(spark):
+    rng = random.Random(21)
+
+    def sentence(n):
+        return " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n)) + "."
+
+    passage = " ".join(map(sentence, (30, 30, 3, 3)))
+    texts = [f"{sentence(9)} {passage} {sentence(9)}", f"{sentence(9)} {passage} {sentence(8)}", passage]
+    stock = [sentence(rng.choice([1, 2, 3, 9, 12, 19, 25])) for _ in range(12)]
+    for _ in range(40):
+        a = rng.randrange(8)
+        texts.append(" ".join([sentence(5), *stock[a:a + rng.randint(1, 6)], sentence(4), *rng.choices(stock, k=2)]))
+    got = sentences.remove_repeated_spans(docs_of(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert got.sd_n_removed.tolist() == brute_all_runs(texts)
+    assert got.sd_n_removed[1] == 4 and got.text[2] == ""
+
+
 # 3 ring
 
 
