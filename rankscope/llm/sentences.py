@@ -5,7 +5,8 @@ together.  For every sentence of every text the shortest run that starts with
 it and the shortest one that ends with it are hashed: together they cover every
 sentence of any run that repeats.  They are joined over the corpus, and each
 sentence that a run covers which is not the first of its equals (by document
-id, then place) is removed.
+id, then place) is removed.  A sentence of more than ``LONG`` words is cut into
+pieces at borders that its own words choose, and each counts as a sentence.
 """
 
 from __future__ import annotations
@@ -23,15 +24,39 @@ from rankscope.llm.common import materialize, numbered
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+#: Words above which a sentence is cut into pieces; words of a piece at most.  A passage of 2 * PIECE + MIN_WORDS
+#: words within such a sentence holds a run of pieces wherever it lies.
+LONG, PIECE = 50, 15
+_WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？]\s|\n")
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of ``text``; together they are the whole text.
+    """(start, end) of the sentences of ``text``, long ones in pieces; together they are the whole text.
 
     A sentence ends after . ! ? or an ellipsis before white space, or after a
     line break.  White space between sentences belongs to the later one.
     """
+    return [s for a, b in _sentences(text) for s in (_cut_long(text, a, b) if b - a > 2 * LONG else [(a, b)])]
+
+
+def _cut_long(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The sentence from ``start`` to ``end``, above LONG words cut before the last least word hash of every PIECE words.
+
+    The borders within two equal passages are equal from the first PIECE words
+    on up to the last, whatever stands around them.
+    """
+    words = list(_WORD.finditer(text, start, end))
+    if len(words) <= LONG:
+        return [(start, end)]
+    h = np.array([xxhash.xxh3_64_intdigest(m.group().encode("utf-8", "surrogatepass")) for m in words], dtype=np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(h[::-1], PIECE).argmin(axis=1)
+    at = np.unique(len(h) - 1 - (least + np.arange(len(least))))
+    cuts = [start, *(words[k - 1].end() for k in at.tolist() if k), end]
+    return list(zip(cuts, cuts[1:]))
+
+
+def _sentences(text: str) -> list[tuple[int, int]]:
     cuts = [0, *(m.start() + 1 for m in _END.finditer(text))]
     if cuts[-1] != len(text):
         cuts.append(len(text))
@@ -120,7 +145,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           out: str = "sd_") -> DataFrame:
     """``docs`` (all columns) without the sentences of non-first repeated runs.
 
-    Adds n_sentences, n_removed (sentences) and spans (array of removed
+    Adds n_sentences, n_removed (sentences; pieces of long ones count) and spans (array of removed
     (start, end) in code points of the input text), prefixed ``out``.  A null
     text stays null and an empty one empty, with no sentence; of one text that
     repeats a run the first place stays; rows equal in id and text are one

@@ -177,6 +177,26 @@ def test_sentence_spans_cover_whole_runs(spark):
     assert got.sd_n_removed[1] == 4 and got.text[2] == ""
 
 
+def test_sentence_spans_within_one_sentence(spark):
+    rng = random.Random(22)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+
+    one, inner = words(60), words(50)
+    texts = [one, f"{one}", f"{words(80)} {inner} {words(80)}", f"{words(30)} {inner} {words(33)}", words(384),
+             f"{words(12)}. {one}. {words(9)}.", f"{words(49)}."]
+    texts += [f"{texts[6]} {words(5)}."]
+    got = sentences.remove_repeated_spans(docs_of(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    assert got.text[0] == one and got.text[1] == "" and (got.text[[2, 4, 6, 7]] == [texts[k] for k in (2, 4, 6, 7)]).all()
+    assert got.sd_n_removed[3] >= 2 and 20 <= len(texts[3].split()) - len(got.text[3].split()) <= 50
+    assert len(got.text[5].split()) <= 12 + 9 + 15  # the last piece ends with another word there
+    for text in texts:
+        units = sentences.pieces(text)
+        assert "".join(text[a:b] for a, b in units) == text
+        assert all(len(text[a:b].split()) <= 50 for a, b in units)
+
+
 # 3 ring
 
 
