@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes, warc
+from rankscope.llm import (bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes, warc,
+                           wumanber)
 from rankscope.llm.common import read_table
-from rankscope.llm.sql import secret_sql
+from rankscope.llm.sql import secret_sql, window_sql
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wumanber.decontaminate(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  read_table(spark, sf_dir, "benchmark"))
+    hits = F.aggregate("bd_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    names = F.array_sort(F.transform("bd_items", lambda i: i.cast("string")))
+    return rows.select("doc_id", F.col("bd_n_words").alias("n_words"), hits.alias("n_hit"),
+                       F.size("bd_items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_sentence_spans": op2_sentence_spans,
@@ -97,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_robust_outliers": op8_robust_outliers,
     "op9_difference_cover": op9_difference_cover,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_wu_manber": op13_wu_manber,
 }
 
-SQL: dict[str, str] = {"op4_secret_ownership": secret_sql()}
+SQL: dict[str, str] = {"op4_secret_ownership": secret_sql(), "op13_wu_manber": window_sql()}

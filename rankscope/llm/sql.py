@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankscope.llm import secrets
+from rankscope.llm import secrets, wumanber
 
 
 def _quoted(text: str) -> str:
@@ -46,3 +46,26 @@ SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_acc
        sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n_example, 0) AS n_example,
        COALESCE(n_shared, 0) AS n_shared, COALESCE(n_live, 0) AS n_live
 FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def window_sql() -> str:
+    """op13: windows of items against all windows of as many words of each document."""
+    words = (r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    width = wumanber.WIDTH
+    return f"""
+WITH i AS (SELECT item_id, {words} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k
+            FROM (SELECT *, least({width}, len(w)) AS n FROM i WHERE len(w) > 0))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+x AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k
+            FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+h AS (SELECT r, k, n, item_id FROM x JOIN p USING (n, win)),
+c AS (SELECT r, COUNT(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM h) GROUP BY r),
+s AS (SELECT r, COUNT(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)"""
