@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankscope.llm import (bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes, warc,
-                           wumanber)
+from rankscope.llm import (angular, bpe, nndescent, packing, quality, ring, secrets, sentences, simhash, suffixes,
+                           threshold, warc, wumanber)
 from rankscope.llm.common import read_table
-from rankscope.llm.sql import secret_sql, window_sql
+from rankscope.llm.sql import centroid_sql, negative_sql, secret_sql, window_sql
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = threshold.cluster_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                       digest.alias("centroid_sha256"))
+
+
+def op12_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angular.hard_negatives(rows.withColumn("label", label), "vec_id", "embedding", "label",
+                                  F.col("vec_id") % 100 == 0)
+
+
 def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wumanber.decontaminate(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
                                   read_table(spark, sf_dir, "benchmark"))
@@ -108,7 +122,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_robust_outliers": op8_robust_outliers,
     "op9_difference_cover": op9_difference_cover,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_threshold_centroids": op11_threshold_centroids,
+    "op12_angular_negatives": op12_angular_negatives,
     "op13_wu_manber": op13_wu_manber,
 }
 
-SQL: dict[str, str] = {"op4_secret_ownership": secret_sql(), "op13_wu_manber": window_sql()}
+SQL: dict[str, str] = {"op4_secret_ownership": secret_sql(), "op11_threshold_centroids": centroid_sql(),
+                       "op12_angular_negatives": negative_sql(), "op13_wu_manber": window_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankscope.llm import secrets, wumanber
+from rankscope.llm import angular, secrets, threshold, wumanber
 
 
 def _quoted(text: str) -> str:
@@ -69,3 +69,57 @@ s AS (SELECT r, COUNT(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
        sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)"""
+
+
+def _finite(scale: str) -> str:
+    """floor(scale * x) of the components, where none is null or non-finite."""
+    return (f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v "
+            "FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, "
+            "lambda x: x IS NOT NULL AND isfinite(x)))")
+
+
+def centroid_sql() -> str:
+    """op11: the rounds unrolled over (vector, dimension) rows."""
+    dim = threshold.DIM
+
+    def assigned(n: int) -> str:
+        return f"""
+q{n} AS MATERIALIZED (SELECT r, c, SUM((x.x - c.x) * (x.x - c.x)) AS e FROM x JOIN c{n} c USING (d) GROUP BY r, c),
+a{n} AS MATERIALIZED (SELECT r, c, e FROM q{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY e, c) = 1)"""
+
+    rounds = ",".join(f"""{assigned(n)},
+m{n} AS (SELECT c, d, SUM(x) AS s, COUNT(*) AS n FROM x JOIN a{n} USING (r) GROUP BY c, d),
+c{n + 1} AS MATERIALIZED (SELECT c, d, COALESCE((s - ((s % n) + n) % n) // n, c{n}.x) AS x
+                          FROM c{n} LEFT JOIN m{n} USING (c, d))""" for n in range(threshold.ROUNDS))
+    last = threshold.ROUNDS
+    return f"""
+WITH k AS (SELECT vec_id, {_finite(str(threshold.SCALE))}),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || COALESCE(CAST(vec_id AS VARCHAR), 'null')), v) - 1 AS r,
+                          vec_id, v FROM k WHERE len(v) = {dim}),
+x AS MATERIALIZED (SELECT r, unnest(range(1, {dim + 1})) AS d, unnest(v) AS x FROM v),
+c0 AS MATERIALIZED (SELECT r AS c, d, x FROM x WHERE r < {threshold.K}),{rounds},{assigned(last)},
+i AS (SELECT c, SUM(e) AS ci FROM a{last} GROUP BY c),
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS sha FROM c{last} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(e AS BIGINT) AS distance, CAST(ci AS BIGINT) AS cluster_inertia,
+       CAST((SELECT SUM(e) FROM a{last}) AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN i USING (c) JOIN h USING (c)"""
+
+
+def negative_sql() -> str:
+    """op12: all rows scored for each anchor."""
+    top, low = angular.TOP, angular.LOW
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, len(v) AS n, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS v,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+           FROM (SELECT vec_id, label, {_finite(str(angular.SCALE))} AND label IS NOT NULL)),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, x.r AS r, x.vec_id AS vec_id, a.label = x.label AS same,
+             CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+      FROM e a JOIN e x ON a.n = x.n AND a.r <> x.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= {top}),
+w AS (SELECT p.anchor_id, p.vec_id AS positive_id, x.vec_id AS negative_id, p.score AS positive_score,
+             x.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.r ORDER BY x.score DESC, x.vec_id, x.r) AS rank
+      FROM p JOIN s x ON p.a = x.a AND NOT x.same AND {low} * p.score <= 100 * x.score AND x.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM w WHERE rank <= {top}"""
