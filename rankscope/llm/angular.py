@@ -57,8 +57,8 @@ class Block:
         self.largest = np.abs(self.real).max(initial=0)
         # More than the sum of two angles' errors: near 0 and pi an angle is off by the root of its cosine's error.
         self.slack = 4 * np.sqrt(2 * (x.shape[1] + 8) * np.finfo(np.float64).eps)
-        picked, near = [], np.full(len(unit), -2.0)
-        for _ in range(min(REFERENCES, len(unit))):
+        picked, near = [], np.where(self.norm > 0, -2.0, 1.0)
+        while len(picked) < REFERENCES and near.min(initial=1) < 1 - 1e-9:
             picked.append(int(near.argmin()))
             near = np.maximum(near, unit @ unit[picked[-1]])
         self.references = unit[picked]
@@ -74,9 +74,9 @@ class Block:
         norm = np.sqrt((real ** 2).sum())
         mine = np.arccos(np.clip(self.references @ (real / (norm or 1)), -1, 1))
         theirs = self.angles[rows]
-        least = np.abs(theirs - mine).max(axis=1) - self.slack
+        least = np.abs(theirs - mine).max(axis=1, initial=0) - self.slack
         total = theirs + mine
-        most = np.minimum(total, 2 * np.pi - total).min(axis=1) + self.slack
+        most = np.minimum(total, 2 * np.pi - total).min(axis=1, initial=np.pi) + self.slack
         size = norm * self.norm[rows] * (1 + 1e-9)
         high, low = np.cos(np.clip(least, 0, np.pi)), np.cos(np.clip(most, 0, np.pi))
         # A zero vector has no angle, but a size of zero.
