@@ -28,7 +28,7 @@ MIN_WORDS = 20
 #: words within such a sentence holds a run of pieces wherever it lies.
 LONG, PIECE = 50, 15
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"[.!?…。！？]\s|\n")
+_END = re.compile(r"[\n.!?…。！？](?:(?<=\n)|\s)")
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -37,35 +37,59 @@ def pieces(text: str) -> list[tuple[int, int]]:
     A sentence ends after . ! ? or an ellipsis before white space, or after a
     line break.  White space between sentences belongs to the later one.
     """
-    return [s for a, b in _sentences(text) for s in (_cut_long(text, a, b) if b - a > 2 * LONG else [(a, b)])]
+    return [(a, b) for a, b, _ in _units(text)]
 
 
-def _cut_long(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The sentence from ``start`` to ``end``, above LONG words cut before the last least word hash of every PIECE words.
+def _units(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of ``pieces``."""
+    cuts = [0, *(m.start() + 1 for m in _END.finditer(text))]
+    if cuts[-1] != len(text):
+        cuts.append(len(text))
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        words = text[a:b].split()
+        if len(words) > LONG:
+            out += _cut_long(text, a, b, words)
+        else:
+            out.append((a, b, words))
+    return out
+
+
+def _cut_long(text: str, start: int, end: int, words: list[str]) -> list[tuple[int, int, list[str]]]:
+    """A sentence above LONG words, cut before the last least word hash of every PIECE words.
 
     The borders within two equal passages are equal from the first PIECE words
     on up to the last, whatever stands around them.
     """
-    words = list(_WORD.finditer(text, start, end))
-    if len(words) <= LONG:
-        return [(start, end)]
-    h = np.array([xxhash.xxh3_64_intdigest(m.group().encode("utf-8", "surrogatepass")) for m in words], dtype=np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
     least = np.lib.stride_tricks.sliding_window_view(h[::-1], PIECE).argmin(axis=1)
-    at = np.unique(len(h) - 1 - (least + np.arange(len(least))))
-    cuts = [start, *(words[k - 1].end() for k in at.tolist() if k), end]
-    return list(zip(cuts, cuts[1:]))
+    at = [k for k in np.unique(len(h) - 1 - (least + np.arange(len(least)))).tolist() if k]
+    ends = [m.end() for m in _WORD.finditer(text, start, end)]
+    cuts = [start, *(ends[k - 1] for k in at), end]
+    at = [0, *at, len(words)]
+    return [(a, b, words[i:k]) for a, b, i, k in zip(cuts, cuts[1:], at, at[1:])]
 
 
-def _sentences(text: str) -> list[tuple[int, int]]:
+def _n_pieces(text: str) -> int:
+    """How many of ``pieces`` hold a word."""
     cuts = [0, *(m.start() + 1 for m in _END.finditer(text))]
     if cuts[-1] != len(text):
         cuts.append(len(text))
-    return list(zip(cuts, cuts[1:]))
+    n = 0
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a <= 2 * LONG:
+            n += not text[a:b].isspace()
+        else:
+            words = text[a:b].split()
+            n += len(_cut_long(text, a, b, words)) if len(words) > LONG else bool(words)
+    return n
 
 
-def shortest_runs(words: list[int], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
-    """(first, end) of the shortest run that starts with each sentence of so many words, and of that which ends with it.
+def shortest_runs(words: np.ndarray, begin: np.ndarray, end: np.ndarray, min_sentences: int,
+                  min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the shortest run that starts with each sentence, and of that which ends with it, in order.
 
+    ``words`` has the sentences' words, ``begin`` and ``end`` the borders of each one's text among the sentences.
     Of a run R from a to b every sentence i lies in one of these within R: in
     the shortest that starts with a, or else that one ends before i, so that
     the shortest that ends with i starts at a or later.
@@ -74,22 +98,35 @@ def shortest_runs(words: list[int], min_sentences: int, min_words: int) -> list[
     n = np.arange(len(words))
     last = np.maximum(n + min_sentences, np.searchsorted(total, total[:-1] + min_words, "left"))
     first = np.minimum(n + 1 - min_sentences, np.searchsorted(total, total[1:] - min_words, "right") - 1)
-    return sorted({(i, k) for i, k in zip(n.tolist(), last.tolist()) if k <= len(words)}
-                  | {(i, k + 1) for i, k in zip(first.tolist(), n.tolist()) if i >= 0})
+    starts, ends = last <= end, first >= begin
+    keys = np.unique(np.r_[n[starts] * (len(n) + 1) + last[starts], first[ends] * (len(n) + 1) + n[ends] + 1])
+    return keys // (len(n) + 1), keys % (len(n) + 1)
+
+
+def _runs(texts, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(first sentences of the texts, texts, first, number, digest of the runs) over all sentences with a word."""
+    digests, words, sizes = [], [], []
+    for text in texts:
+        before = len(words)
+        for _, _, some in _units(text) if text else ():
+            if some:
+                digests.append(xxhash.xxh3_128_digest(" ".join(some).encode("utf-8", "surrogatepass")))
+                words.append(len(some))
+        sizes.append(len(words) - before)
+    sizes = np.array(sizes, dtype=np.int64)
+    border = np.r_[0, np.cumsum(sizes)]
+    first, stop = shortest_runs(np.array(words, dtype=np.int64), np.repeat(border[:-1], sizes),
+                                np.repeat(border[1:], sizes), min_sentences, min_words)
+    whole = memoryview(b"".join(digests))
+    found = [xxhash.xxh3_128_digest(whole[16 * i:16 * k]) for i, k in zip(first.tolist(), stop.tolist())]
+    return border, np.repeat(np.arange(len(sizes)), sizes)[first], first, stop - first, found
 
 
 def runs(text: str, min_sentences: int = MIN_SENTENCES,
          min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences with a word, and runs (first, number of sentences, 16-byte digest).  White space is normalised."""
-    spans, digests, counts = [], [], []
-    for a, b in pieces(text):
-        words = text[a:b].split()
-        if words:
-            spans.append((a, b))
-            digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-            counts.append(len(words))
-    return spans, [(i, k - i, xxhash.xxh3_128_digest(b"".join(digests[i:k])))
-                   for i, k in shortest_runs(counts, min_sentences, min_words)]
+    _, _, first, n, digests = _runs([text], min_sentences, min_words)
+    return [(a, b) for a, b, words in _units(text) if words], list(zip(first.tolist(), n.tolist(), digests))
 
 
 def _emit(min_sentences: int, min_words: int):
@@ -100,20 +137,15 @@ def _emit(min_sentences: int, min_words: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            heads, found, at, counts = [], [], [], []
-            for text in pdf["text"]:
-                mine = runs(text, min_sentences, min_words)[1] if text else []
-                before = len(at)
-                for i, k, d in mine:
-                    if len(at) == before or at[-1] != i:
-                        heads.append(d[:8])
-                        at.append(i)
-                        found.append(b"")
-                    found[-1] += d + k.to_bytes(4, "big")
-                counts.append(len(at) - before)
-            rows = np.repeat(np.arange(len(pdf)), counts)
-            yield pd.DataFrame({"head": np.frombuffer(b"".join(heads), dtype="<i8"), "id": pdf["id"].array.take(rows),
-                                "tk": pdf["tk"].to_numpy()[rows], "at": np.array(at, dtype=np.int32), "runs": found})
+            border, row, first, n, digests = _runs(pdf["text"], min_sentences, min_words)
+            place = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else first
+            blob = b"".join([d + k for d, k in zip(digests, map(bytes, n.astype(">i4")[:, None].view("u1")))])
+            edges = [*place.tolist(), len(first)]
+            row = row[place]
+            yield pd.DataFrame({"head": np.frombuffer(b"".join([digests[k][:8] for k in place.tolist()]), dtype="<i8"),
+                                "id": pdf["id"].array.take(row), "tk": pdf["tk"].to_numpy()[row],
+                                "at": (first[place] - border[row]).astype(np.int32),
+                                "runs": [blob[20 * a:20 * b] for a, b in zip(edges, edges[1:])]})
 
     return run
 
@@ -165,10 +197,10 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
         out = []
         for text, covered in zip(texts, lists):
-            spans = [s for s in pieces(text or "") if text[s[0]:s[1]].strip()]
             if covered is None:
-                out.append((text, len(spans), 0, []))
+                out.append((text, _n_pieces(text or ""), 0, []))
                 continue
+            spans = [(a, b) for a, b, words in _units(text) if words]
             drop = np.zeros(len(spans) + 1, dtype=np.int64)
             for r in covered:
                 drop[r["at"]] += 1
