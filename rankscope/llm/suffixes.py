@@ -23,15 +23,19 @@ merged through it:
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import numbered
+from rankscope.llm.common import materialize, numbered
 from rankscope.session import num_partitions
 
 LENGTH = 200
@@ -39,6 +43,13 @@ WINDOW = 160
 _WORD = 8
 _CHUNK = 1 << 22
 _AT = np.uint64((1 << 24) - 1)
+#: Documents, and rows of their samples, that the borders of the sort are chosen by.
+_SEEN_DOCS, _SEEN_ROWS = 4_000, 50_000
+#: Unsettled rows of one core above which they are grouped by more bytes, for _CUTS ranges of places of a string.
+_HOT_ROWS, _CUTS = 4_000, 8
+
+
+_SAMPLE = "at int, h long, u long, k binary, p long, near int, far int"
 
 
 def samples(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,14 +80,26 @@ def samples(data: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np
     return at[first], first, np.r_[first[1:] - 1, len(at) - 1]
 
 
-def _emit_samples(length: int, window: int):
+def _twice(keys: Iterator[bytes], seen: dict[bytes, int]) -> list[bool]:
+    """Whether each key is the first or second of its equals; further copies of a text tell nothing more."""
+    out = []
+    for k in keys:
+        seen[k] = n = seen.get(k, 0) + 1
+        out.append(n <= 2)
+    return out
+
+
+def _emit_samples(length: int, window: int, borders: list[tuple[int, int, bytes]]):
+    """mapInPandas body: the samples of each text with the number of their range, h and u being hashes of core and context."""
     core = length - window + 1
+    by_h = np.array([b[0] for b in borders], dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[bytes, int] = {}
         for pdf in batches:
             out = []
-            for k, text in zip(pdf["k"], pdf["text"]):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for k, text, first in zip(pdf["k"], pdf["text"], _twice(pdf["k"], seen)):
+                data = (text or "").encode("utf-8", "surrogatepass") if first else b""
                 p, first, last = samples(data, length, window)
                 if not len(p):
                     continue
@@ -85,15 +108,31 @@ def _emit_samples(length: int, window: int):
                     a = max(0, x - window + 1)
                     h.append(xxhash.xxh64_intdigest(data[x:x + core]))
                     u.append(xxhash.xxh64_intdigest(data[a:x + length], x - a))
-                out.append(pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64),
-                                         "u": np.array(u, np.uint64).view(np.int64), "k": k, "p": p,
-                                         "near": (p - last).astype(np.int32), "far": (p - first).astype(np.int32)}))
+                h, u = np.array(h, np.uint64).view(np.int64), np.array(u, np.uint64).view(np.int64)
+                at, after = np.searchsorted(by_h, h, "left"), np.searchsorted(by_h, h, "right")
+                for i in np.flatnonzero(at < after).tolist():  # a core that holds borders
+                    at[i] = bisect_left(borders, (int(h[i]), int(u[i]), k))
+                out.append(pd.DataFrame({"at": at, "h": h, "u": u, "k": k, "p": p, "near": (p - last).astype(np.int32),
+                                         "far": (p - first).astype(np.int32)}))
             if out:
                 yield pd.concat(out)
 
     return run
 
 
+def _borders(texts: DataFrame, length: int, window: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """Borders of about equal ranges of the samples' order by (h, u, k), from a bounded sample of the texts.
+
+    They only tell where rows go, not what is found.
+    """
+    docs = texts.count()
+    some = texts.sample(min(1.0, _SEEN_DOCS / docs), 7) if docs else texts
+    rows = (some.select("k", "text").mapInPandas(_emit_samples(length, window, []), _SAMPLE)
+            .orderBy(F.xxhash64("u", "k", "p")).limit(_SEEN_ROWS).select("h", "u", "k").collect())
+    seen = sorted((r.h, r.u, bytes(r.k)) for r in rows)
+    return sorted({seen[len(seen) * n // parts] for n in range(1, parts)}) if seen else []
+
+
 def _adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Compares neighbours of the sorted samples.
 
@@ -138,7 +177,7 @@ def _names(before: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _merge(length: int, window: int):
-    """Groups of equal cores -> (k, start, stop): what the strings of each sample that occur again cover."""
+    """Groups of equal cores, or parts of them -> (k, start, stop): what the strings of each sample that occur again cover."""
     side = window - 1
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +185,7 @@ def _merge(length: int, window: int):
         left, right = (np.array([np.frombuffer(x, np.uint8) for x in pdf[c]], dtype=np.int64).reshape(n, -1)
                        for c in ("left", "right"))
         left_size, right_size = pdf["left_size"].to_numpy(), pdf["right_size"].to_numpy()
-        group = pd.factorize(pdf["h"])[0].astype(np.int64)
+        group = pd.factorize(pdf["g"])[0].astype(np.int64)
         near, far = pdf["near"].to_numpy(), pdf["far"].to_numpy()
         to_right, kinds = [group], 0
         for e in range(side):
@@ -175,20 +214,44 @@ def _merge(length: int, window: int):
 
 
 def _contexts(length: int, window: int):
-    core, side = length - window + 1, window - 1
+    """mapInArrow body: wanted samples with the bytes around their core, in groups g of equal cores.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, text, wanted in zip(pdf["k"], pdf["text"], pdf["wanted"]):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                for w in wanted:
+    A hot core has a group for each range of distances from a string's start to the sample, and for the bytes that all
+    strings of these distances hold.
+    """
+    core, side, step = length - window + 1, window - 1, -(-window // _CUTS)
+    kinds = pa.schema([("g", pa.int64()), ("k", pa.binary()), ("p", pa.int64()), ("near", pa.int32()),
+                       ("far", pa.int32()), ("state", pa.int32()), ("left_size", pa.int32()),
+                       ("right_size", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+
+    def groups(w: dict, left: bytes, right: bytes) -> Iterator[tuple[int, int, int]]:
+        near, far = w["near"], w["far"]
+        if not w["hot"]:
+            yield w["h"], near, far
+            return
+        for a in range(near // step * step, far + 1, step):
+            same = xxhash.xxh64(left[:a], w["h"] & 0xFFFFFFFFFFFFFFFF)
+            same.update(right[:max(0, side - (a + step - 1))])
+            same.update(a.to_bytes(4, "big"))
+            yield int(np.uint64(same.intdigest()).view(np.int64)), max(near, a), min(far, a + step - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            some = batch.filter(pc.is_valid(batch.column("wanted")))
+            keys, out = some.column("k").to_pylist(), []
+            for k, text, wanted, first in zip(keys, some.column("text"), some.column("wanted"), _twice(keys, seen)):
+                if not first:
+                    continue
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                for w in wanted.as_py():
                     p = w["p"]
                     left, right = data[max(0, p - side):p][::-1], data[p + core:p + length]
-                    out.append((w["h"], k, p, w["near"], w["far"], w["state"], len(left), len(right),
-                                left.ljust(side, b"\0"), right.ljust(side, b"\0")))
-            yield pd.DataFrame(out, columns=["h", "k", "p", "near", "far", "state", "left_size", "right_size",
-                                             "left", "right"])
+                    for g, near, far in groups(w, left, right):
+                        out.append((g, k, p, near, far, w["state"], len(left), len(right),
+                                    left.ljust(side, b"\0"), right.ljust(side, b"\0")))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)] if out else
+                                             [pa.array([], f.type) for f in kinds], schema=kinds)
 
     return run
 
@@ -216,27 +279,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW)
     """(k, spans) of the texts with repeats; ``texts`` has k (digest of the text) and text, one row per document.
 
     spans: (start, stop) in bytes covered by strings of ``length`` bytes that start at another place too, merged
-    where they overlap or touch, in order.
+    where they overlap or touch, in order.  Other columns of ``texts`` go through the exchange by k, so that a left
+    join of the same frame with the result finds the texts dealt out already.
     """
     if not _WORD <= length - window + 1 or window < 2:
         raise ValueError("the window must leave a core of a word")
     parts = num_partitions(texts.sparkSession)
-    texts = texts.select("k", "text")
-    rows = texts.mapInPandas(_emit_samples(length, window), "h long, u long, k binary, p long, near int, far int")
-    order = ["h", "u", "k", "p"]
-    judged = (rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-              .mapInPandas(_adjacent, "k binary, p long, near int, far int, h long, state int"))
-    settled = judged.where("state = 0").select("k", (F.col("p") - F.col("far")).alias("start"),
-                                               (F.col("p") - F.col("near") + length).alias("stop"))
-    wanted = (judged.where("state > 0").groupBy("k")
-              .agg(F.collect_set(F.struct("h", "p", "near", "far", "state")).alias("wanted")))
-    contexts = (texts.join(wanted, "k")
-                .mapInPandas(_contexts(length, window), "h long, k binary, p long, near int, far int, state int, "
-                             "left_size int, right_size int, left binary, right binary"))
-    merged = (contexts.repartition(parts, "h").sortWithinPartitions("h")
-              .mapInPandas(_whole_groups("h", _merge(length, window)), "k binary, start long, stop long"))
-
-    @F.pandas_udf("array<struct<start long, stop long>>")
+    span = "array<struct<start: long, stop: long>>"
+
+    @F.pandas_udf(span)
     def union(lists: pd.Series) -> pd.Series:
         out = []
         for spans in lists:
@@ -249,7 +300,26 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, window: int = WINDOW)
             out.append([{"start": a, "stop": b} for a, b in joined])
         return pd.Series(out)
 
-    both = settled.union(merged).groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    borders = _borders(texts, length, window, parts)
+    rows = texts.select("k", "text").mapInPandas(_emit_samples(length, window, borders), _SAMPLE)
+    judged = (rows.repartitionById(len(borders) + 1, "at").drop("at").sortWithinPartitions("h", "u", "k", "p")
+              .mapInPandas(_adjacent, "k binary, p long, near int, far int, h long, state int"))
+    settled = F.when(F.col("state") == 0, F.struct((F.col("p") - F.col("far")).alias("start"),
+                                                   (F.col("p") - F.col("near") + length).alias("stop")))
+    more = F.when(F.col("state") > 0, F.struct("h", "p", "near", "far", "state"))
+    known = materialize(judged.groupBy("k").agg(F.collect_list(settled).alias("spans"), F.collect_set(more).alias("more"))
+                        .select("k", union("spans").alias("spans"), "more"))
+    open_ = known.select("k", F.inline("more"))
+    hot = open_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _HOT_ROWS).select("h", F.lit(True).alias("hot"))
+    wanted = (open_.join(hot, "h", "left").groupBy("k")
+              .agg(F.collect_list(F.struct("h", "p", "near", "far", "state", "hot")).alias("wanted")))
+    contexts = (texts.join(wanted, "k", "left")
+                .mapInArrow(_contexts(length, window), "g long, k binary, p long, near int, far int, state int, "
+                            "left_size int, right_size int, left binary, right binary"))
+    merged = (contexts.repartition(parts, "g").sortWithinPartitions("g")
+              .mapInPandas(_whole_groups("g", _merge(length, window)), "k binary, start long, stop long"))
+    both = (known.select("k", F.inline("spans")).union(merged).groupBy("k")
+            .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     return both.select("k", union("spans").alias("spans"))
 
 
@@ -268,8 +338,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     carried = [c for c in docs.columns if c != text_col]
     docs, (text_col,) = numbered(docs, text_col)
     key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    spans = repeated_spans(docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text")), length, window)
-    wide = docs.withColumn("_k", key).join(spans.withColumnRenamed("k", "_k"), "_k", "left")
+    wide = docs.select(*[F.col(c).cast("string").alias("text") if c == text_col else F.col(c) for c in docs.columns],
+                       key.alias("k"))
+    wide = wide.join(repeated_spans(wide, length, window), "k", "left")
 
     @F.pandas_udf("struct<n_bytes long, n_removed long, n_spans long, kept binary>")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
@@ -282,7 +353,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     rest = [c for c in docs.columns if c != text_col]
-    wide = wide.withColumn("_cut", cut(F.col(text_col).cast("string"), F.col("spans")))
+    wide = wide.withColumn("_cut", cut("text", "spans"))
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     return (wide.select(*rest, "spans", *[F.col(f"_cut.{c}") for c in added])
             .toDF(*carried, out + "spans", *[out + c for c in added]))

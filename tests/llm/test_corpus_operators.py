@@ -565,7 +565,9 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot", [suffixes._HOT_ROWS, 1])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "_HOT_ROWS", hot)
     rng = random.Random(8)
     base = ["".join(rng.choices("abé \n", k=700)) for _ in range(4)]
     texts = []
