@@ -4,10 +4,8 @@ Two physical strategies give the same numbers:
 
 * bounded groups: one hash exchange on the group keys + ``row_number`` window;
 * hot groups (more rows than ``rankscope.hotGroupRows``): a range-partitioned
-  sort on (keys, order) spreads one group over many tasks; each task numbers
-  its rows locally (Arrow batches) and a per-partition offset table -- at most
-  one row per partition, so its broadcast is bounded by construction -- turns
-  local numbers into group-wide ones.
+  sort on (keys, order) spreads one group over many tasks, each numbers its
+  piece, and the counts of the pieces before are carried in (operators.scan).
 
 Hot keys are found with a partial (map-side combined) count, so the common
 case costs one extra narrow aggregation and no broadcast at all.
@@ -17,15 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankscope.functions.numeric import nan_to_null
-from rankscope.session import (DEFAULT_BROADCAST_ROWS, DEFAULT_HOT_GROUP_ROWS, conf_int,
-                               ensure_checkpoint_dir, num_partitions)
+from rankscope.operators.scan import Scan, running
+from rankscope.session import DEFAULT_BROADCAST_ROWS, DEFAULT_HOT_GROUP_ROWS, conf_int
 
 SCORE_COLUMNS = ["qid", "context_id", "score", "rank", "method", "latency_ms"]
 
@@ -41,48 +36,6 @@ def _window_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(out, F.row_number().over(w).cast("long"))
 
 
-def _local_numbers(keys: list[str], weight: str | None = None):
-    """mapInPandas body: running number (or running sum of ``weight``) per
-    consecutive key inside one sorted partition."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        prev_key, prev_count = None, 0
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            new = np.zeros(m, dtype=bool)
-            for k in keys:
-                col = pdf[k]
-                sh = col.shift(1)
-                same = (col == sh) | (col.isna() & sh.isna())
-                new |= ~same.to_numpy(dtype=bool)
-            first = tuple(pdf[k].iloc[0] for k in keys)
-            new[0] = prev_key is None or any(
-                not ((a == b) or (pd.isna(a) and pd.isna(b))) for a, b in zip(first, prev_key))
-            grp = np.cumsum(new)
-            starts = np.flatnonzero(new)
-            wts = (pdf[weight].to_numpy(dtype=np.int64) if weight is not None
-                   else np.ones(m, dtype=np.int64))
-            csum = np.cumsum(wts)
-            lr = np.empty(m, dtype=np.int64)
-            cont = grp == 0
-            lr[cont] = csum[cont] + prev_count
-            rest = ~cont
-            first_idx = starts[grp[rest] - 1]
-            lr[rest] = csum[rest] - csum[first_idx] + wts[first_idx]
-            prev_key = tuple(pdf[k].iloc[-1] for k in keys)
-            prev_count = int(lr[-1])
-            pdf["_part"] = np.int32(part)
-            pdf["_lr"] = lr
-            yield pdf
-
-    return run
-
-
 def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
                  partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """row_number over (keys order by order) without putting a group in one task.
@@ -91,47 +44,9 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     data through a single partition.  With ``weight`` (a non-negative integer
     column) the result is the inclusive running sum of weight instead.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = list(keys)
-    drop_const = False
-    if not keys:
-        df = df.withColumn("_g", F.lit(0))
-        keys = ["_g"]
-        drop_const = True
-    n = partitions or num_partitions(spark)
-    sort_cols = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    s = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    schema = T.StructType(s.schema.fields + [T.StructField("_part", T.IntegerType(), False),
-                                            T.StructField("_lr", T.LongType(), False)])
-    local = s.mapInPandas(_local_numbers(keys, weight), schema)
-    # Reliable checkpoint: materialises the numbered partitions once (in the
-    # shared checkpoint folder) so the offsets below see exactly these rows.
-    local = local.checkpoint(eager=True)
-    keycols = [F.col(k) for k in keys]
-    summary = local.groupBy("_part").agg(
-        F.min(F.struct(*keycols)).alias("_fk"),
-        F.max(F.struct(*keycols, F.col("_lr"))).alias("_last"))
-    a = summary.select("_part", "_fk")
-    b = summary.select(F.col("_part").alias("_p2"), F.col("_last"))
-    cond = (F.col("_p2") < F.col("_part"))
-    for k in keys:
-        cond = cond & F.col(f"_fk.{k}").eqNullSafe(F.col(f"_last.{k}"))
-    offsets = (a.join(b, cond)
-               .groupBy("_part", "_fk").agg(F.sum(F.col("_last._lr")).alias("_off"))
-               .select("_part", *[F.col(f"_fk.{k}").alias(k) for k in keys], "_off"))
-    # at most one row per partition: bounded broadcast
-    offsets = offsets.select(F.col("_part").alias("_op"), *[F.col(k).alias(f"_ok_{k}") for k in keys], "_off")
-    same = F.col("_part") == F.col("_op")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_ok_{k}"))
-    res = (local.join(F.broadcast(offsets), same, "left").drop("_op", *[f"_ok_{k}" for k in keys])
-           .withColumn(out, (F.col("_lr") + F.coalesce(F.col("_off"), F.lit(0))).cast(
-               "long"))
-           .drop("_part", "_lr", "_off"))
-    if drop_const:
-        res = res.drop("_g")
-    return res
+    step = (F.col(weight) if weight is not None else F.lit(1)).cast("long")
+    numbered = running(df, keys, order, {"_number": Scan("sum", step)}, partitions)
+    return numbered.withColumn(out, F.col("_number")).drop("_number")
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
