@@ -43,7 +43,7 @@ WINDOW = 160
 _WORD = 8
 _CHUNK = 1 << 22
 _AT = np.uint64((1 << 24) - 1)
-#: Documents, and rows of their samples, that the borders of the sort are chosen by.
+#: Documents, and about as many rows of their samples, that the borders of the sort are chosen by.
 _SEEN_DOCS, _SEEN_ROWS = 4_000, 50_000
 #: Unsettled rows of one core above which they are grouped by more bytes, for _CUTS ranges of places of a string.
 _HOT_ROWS, _CUTS = 4_000, 8
@@ -127,9 +127,11 @@ def _borders(texts: DataFrame, length: int, window: int, parts: int) -> list[tup
     """
     docs = texts.count()
     some = texts.sample(min(1.0, _SEEN_DOCS / docs), 7) if docs else texts
-    rows = (some.select("k", "text").mapInPandas(_emit_samples(length, window, []), _SAMPLE)
-            .orderBy(F.xxhash64("u", "k", "p")).limit(_SEEN_ROWS).select("h", "u", "k").collect())
-    seen = sorted((r.h, r.u, bytes(r.k)) for r in rows)
+    rows = materialize(some.select("k", "text").mapInPandas(_emit_samples(length, window, []), _SAMPLE)
+                       .select("h", "u", "k", "p"))
+    every = rows.count() // _SEEN_ROWS + 1
+    picked = rows.where(F.pmod(F.xxhash64("u", "k", "p"), F.lit(every)) == 0).select("h", "u", "k").collect()
+    seen = sorted({(r.h, r.u, bytes(r.k)) for r in picked})  # a copied text once: few of its copies are told anyway
     return sorted({seen[len(seen) * n // parts] for n in range(1, parts)}) if seen else []
 
 
