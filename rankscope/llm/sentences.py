@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankscope.llm.common import materialize, numbered
+from rankscope.llm.common import numbered
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -130,46 +130,45 @@ def runs(text: str, min_sentences: int = MIN_SENTENCES,
 
 
 def _emit(min_sentences: int, min_words: int):
-    """mapInPandas body: a row for each place where runs start, with half the shortest one's digest (head) and all runs.
+    """mapInPandas body: a row for each run, with its digest (h0, h1).
 
-    Of the runs from one place the shortest is a part of all others, so they repeat only where it does.
+    Of equal runs in a batch only the first by place can be the first of all, so that no digest has more rows than
+    there are batches; the others are ``later`` ones, spread over the cluster by a hash of their own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             border, row, first, n, digests = _runs(pdf["text"], min_sentences, min_words)
-            place = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else first
-            blob = b"".join([d + k for d, k in zip(digests, map(bytes, n.astype(">i4")[:, None].view("u1")))])
-            edges = [*place.tolist(), len(first)]
-            row = row[place]
-            yield pd.DataFrame({"head": np.frombuffer(b"".join([digests[k][:8] for k in place.tolist()]), dtype="<i8"),
-                                "id": pdf["id"].array.take(row), "tk": pdf["tk"].to_numpy()[row],
-                                "at": (first[place] - border[row]).astype(np.int32),
-                                "runs": [blob[20 * a:20 * b] for a, b in zip(edges, edges[1:])]})
+            h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            ids, tk, at = pd.factorize(pdf["id"], sort=True)[0], pdf["tk"].to_numpy(), (first - border[row]).astype(np.int32)
+            ids = np.where(ids < 0, len(pdf), ids)  # without an id: last
+            order = np.lexsort((at, tk[row], ids[row], h[:, 1], h[:, 0]))
+            row, at, n, h = row[order], at[order], n[order], h[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]).any(axis=1)] if len(h) else np.zeros(0, bool)
+            lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(h) else row
+            later = (ids[row] != ids[row[lead]]) | (tk[row] != tk[row[lead]]) | (at != at[lead])
+            kept = fresh | later  # a repeated row of the first place says nothing more
+            spread = tk[row] + at * np.int64(0x9E3779B97F4A7C1)
+            yield pd.DataFrame({"h0": np.where(later, spread, h[:, 0])[kept], "h1": np.where(later, 0, h[:, 1])[kept],
+                                "id": pdf["id"].array.take(row[kept]), "tk": tk[row][kept], "at": at[kept],
+                                "n": n[kept].astype(np.int32), "later": later[kept]})
 
     return run
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tk, at, n): runs of ``docs`` that are not the first of their equals; tk is the text's hash."""
+    """(id, tk, at, n): runs of ``docs`` that are not the first of their equals; tk is the text's hash.
+
+    Rows equal in id and text have equal places, so none of them is later than another.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"),
                        F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    spans = rows.mapInPandas(_emit(min_sentences, min_words),
-                             f"head long, id {id_type}, tk long, at int, runs binary")
-    # Half of the digest finds what may repeat, so that only those runs are carried further.
-    often = materialize(spans.groupBy("head").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("head"))
-    some = spans.join(often, "head", "left_semi")
-    some = some.withColumn("k", F.explode(F.expr("sequence(0, length(runs) - 20, 20)")))
-    some = some.selectExpr("substring(runs, k + 1, 16) AS h", "id", "tk", "at",
-                           "cast(conv(hex(substring(runs, k + 17, 4)), 16, 10) AS int) AS n")
-    some = materialize(some.repartition("id", "tk"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "tk", "at")
-    first = materialize(some.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
-                        .where("c > 1").drop("c"))
-    return (some.join(first, "h").where(place != F.col("first"))
-            .select("id", "tk", "at", "n").distinct())
+    found = rows.mapInPandas(_emit(min_sentences, min_words),
+                             f"h0 long, h1 long, id {id_type}, tk long, at int, n int, later boolean")
+    equal = Window.partitionBy("h0", "h1", "later").orderBy(F.col("id").asc_nulls_last(), "tk", "at")
+    return (found.withColumn("place", F.rank().over(equal)).where("later or place > 1").select("id", "tk", "at", "n"))
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -188,7 +187,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     gone = repeated_runs(docs, id_col, text_col, min_sentences, min_words)
-    gone = (gone.groupBy("id", "tk").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_runs"))
+    gone = (gone.groupBy("id", "tk").agg(F.collect_set(F.struct("at", "n")).alias("_runs"))
             .select(F.col("id").alias("_id"), F.col("tk").alias("_tk2"), "_runs"))
     wide = docs.withColumn("_tk", F.xxhash64(F.col(text_col)))
     wide = wide.join(gone, wide[id_col].eqNullSafe(gone["_id"]) & (wide["_tk"] == gone["_tk2"]), "left")
