@@ -10,6 +10,7 @@ records as WARC/1.1 files, ``parse_records`` reads the bytes of one.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = ("record_type string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -30,8 +31,10 @@ _BREAK = re.compile(r"<(?:/?(?:address|article|aside|blockquote|dd|div|dl|dt|fie
                     r"|header|li|main|nav|ol|p|pre|section|table|title|tr|ul)|br|hr)\b[^>]*>", re.I)
 _CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_HREF = re.compile(r"<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
+_ANCHOR, _HREF = re.compile(r"<a\s", re.I), re.compile(r"\bhref\s*=\s*|>", re.I)
+_VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>]+)")
+_LONG_ZERO, _LONG_NUMBER = re.compile(r"&#0{8,}"), re.compile(r"&#0?[1-9][0-9]{7,};?")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 _ORIGIN = re.compile(r"[a-z][a-z0-9+.-]*://[^/?#]*", re.I)
 
@@ -45,19 +48,56 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(chr(31).join(parts).encode('utf-8', 'surrogatepass')).digest())}>"
 
 
+def _tags_to(new: str, pattern: re.Pattern, page: str) -> str:
+    """``pattern.sub`` up to the last ``>``: every tag begun there ends, so that no place is looked at twice."""
+    end = page.rfind(">") + 1
+    return pattern.sub(new, page[:end]) + page[end:]
+
+
+def _unescaped(text: str) -> str:
+    """html.unescape, which cannot read numbers of thousands of digits."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", _LONG_ZERO.sub("&#0", text)))
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: a line per block, white space collapsed, entities decoded."""
-    page = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _UNSEEN.sub(" ", page))))
-    lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
+    page = _tags_to("\n", _BREAK, _UNSEEN.sub(" ", page))
+    page = _tags_to("", _TAG, _tags_to(" ", _CELL, page))
+    lines = (" ".join(line.split()) for line in _unescaped(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def page_title(page: str) -> str:
+    """Text of the first title that ends; white space collapsed, entities decoded."""
+    start = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = _TITLE_END.search(page, start.end()) if start else None
+    return " ".join(_unescaped(page[start.end():end.start()]).split()) if end else ""
+
+
+def _hrefs(page: str) -> Iterator[str]:
+    """The first href of each anchor as written, in one pass from left to right."""
+    at = 0
+    while anchor := _ANCHOR.search(page, at):
+        at = anchor.end()
+        while True:
+            found = _HREF.search(page, at)
+            if not found:
+                return
+            at = found.end()
+            if found.group() == ">":
+                break
+            if value := _VALUE.match(page, at):
+                yield "".join(g or "" for g in value.groups())
+                at = value.end()
+                break
+
+
 def outlinks(page: str, base: str) -> list[str]:
     """Absolute targets of the anchors, each once, in order."""
     origin = _ORIGIN.match(base)
     out: dict[str, None] = {}
-    for groups in _HREF.findall(_UNSEEN.sub(" ", page)):
-        href = html.unescape("".join(groups)).strip()
+    for written in _hrefs(_UNSEEN.sub(" ", page)):
+        href = _unescaped(written).strip()
         if href.startswith("/") and not href.startswith("//") and origin:
             href = origin.group() + href
         elif not _ORIGIN.match(href):
@@ -84,13 +124,12 @@ def derivatives(source: str, uri: str, date: str, http: str, payload: bytes) ->
     page, charset = decode(payload, http)
     text, links = plain_text(page), outlinks(page, uri)
     block = http.encode() + b"\r\n\r\n" + payload
-    title = _TITLE.search(page)
     status, *headers = http.split("\r\n")
     fields = [("source-record-id", source), ("source-status", status),
               *[("source-header", h) for h in headers if h],
               ("source-block-digest", digest(block)), ("source-payload-digest", digest(payload)),
               ("source-payload-length", str(len(payload))), ("charset", charset),
-              ("title", " ".join(html.unescape(title.group(1)).split()) if title else ""),
+              ("title", page_title(page)),
               ("conversion-record-id", record_id(source, "conversion")), ("text-length", str(len(text.encode()))),
               *[("outlink", x) for x in links]]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields)
@@ -166,6 +205,23 @@ def write_records(records: DataFrame, path: str) -> None:
      .text(path))
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, headers, block) of every record of the WARC files under ``path``, compressed with gzip or not.
+
+    A file is parsed in one task, as gzip has to be; those of ``write_records`` hold a partition each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                content = bytes(content)
+                found = parse_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+                yield pd.DataFrame([(name, *r) for r in found], columns=["file", "headers", "block"])
+
+    return (spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+            .mapInPandas(run, "file string, headers map<string, string>, block binary"))
+
+
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an uncompressed WARC file."""
     out, at = [], 0
