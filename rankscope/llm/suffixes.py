@@ -130,8 +130,9 @@ def _borders(texts: DataFrame, length: int, window: int, parts: int) -> list[tup
     rows = materialize(some.select("k", "text").mapInPandas(_emit_samples(length, window, []), _SAMPLE)
                        .select("h", "u", "k", "p"))
     every = rows.count() // _SEEN_ROWS + 1
-    picked = rows.where(F.pmod(F.xxhash64("u", "k", "p"), F.lit(every)) == 0).select("h", "u", "k").collect()
-    seen = sorted({(r.h, r.u, bytes(r.k)) for r in picked})  # a copied text once: few of its copies are told anyway
+    picked = rows.where(F.pmod(F.xxhash64("u", "k", "p"), F.lit(every)) == 0).collect()
+    # a copied text once, as few of its copies are told anyway, but each place of a text
+    seen = sorted((h, u, k) for h, u, k, _ in {(r.h, r.u, bytes(r.k), r.p) for r in picked})
     return sorted({seen[len(seen) * n // parts] for n in range(1, parts)}) if seen else []
 
 
