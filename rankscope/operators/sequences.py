@@ -1,19 +1,19 @@
 """Sequence-dataset preparation for small cross-encoders.
 
-The vocabulary is a small table (one row per distinct character); encoding
-joins exploded characters to it (broadcast after a size check) and puts each
-pair back together with an ordered collect bounded by max_length.
+The vocabulary is a small table (one row per distinct character, so bounded by
+the code points there are).  Encoding looks ids up in an array indexed by code
+point, a constant of the plan: each pair is encoded where it lies, without a
+join, an explode or a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankscope.functions.text import clean_text
-from rankscope.session import bounded_broadcast
 
 # ---------------------------------------------------------------------------
 # Special tokens and their ids.
@@ -46,7 +46,7 @@ def build_vocab(df: DataFrame, columns: Sequence[str] = ("question", "candidate_
     return specials.unionByName(ranked)
 
 
-def pair_lengths(q_len: F.Column, c_len: F.Column, max_content: int) -> tuple[F.Column, F.Column]:
+def pair_lengths(q_len: Column, c_len: Column, max_content: int) -> tuple[Column, Column]:
     """T11 in closed form: pop from the longer side (context on ties) until
     q + c <= max_content."""
     m = F.lit(max_content)
@@ -55,34 +55,39 @@ def pair_lengths(q_len: F.Column, c_len: F.Column, max_content: int) -> tuple[F.
     return q2, c2
 
 
+def ids_by_code_point(vocab: DataFrame) -> Column:
+    """Constant array: the id of the character with each code point, UNK_ID for those that the vocabulary lacks."""
+    rows = vocab.where(~F.col("ch").isin(*SPECIAL_TOKENS)).select("ch", "id").collect()
+    odd = [r.ch for r in rows if len(r.ch) != 1]
+    if odd:
+        raise ValueError(f"vocabulary entries that are no single character: {odd[:3]}")
+    ids = [str(UNK_ID)] * (max((ord(r.ch) for r in rows), default=0) + 1)
+    for r in rows:
+        ids[ord(r.ch)] = str(r.id)
+    return F.split(F.lit(",".join(ids)), ",").cast("array<int>")  # folded once to a literal of the plan
+
+
 def encode_pairs(df: DataFrame, vocab: DataFrame, max_length: int = 256, keys: Sequence[str] = ("qid", "context_id"),
                  question: str = "question", context: str = "candidate_context",
                  keep: Sequence[str] = ("label",)) -> DataFrame:
-    """[CLS] q [SEP] c [SEP], unknown -> 1, segment ids 0/1, mask, pad to max_length."""
+    """[CLS] q [SEP] c [SEP], unknown -> 1, segment ids 0/1, mask, pad to max_length.  One row for each row."""
     if max_length < 3:
         raise ValueError("max_length must be at least 3")
-    keys, keep = list(keys), [k for k in keep if k in df.columns]
-    base = df.select(*keys, *keep,
-                     F.filter(F.split(clean_text(question), ""), lambda c: c != "").alias("_qc"),
-                     F.filter(F.split(clean_text(context), ""), lambda c: c != "").alias("_cc"))
-    q2, c2 = pair_lengths(F.size("_qc"), F.size("_cc"), max_length - 3)
-    base = base.withColumn("_qn", q2).withColumn("_cn", c2)
-    kept = base.select(*keys, F.posexplode(F.concat(F.slice("_qc", 1, F.col("_qn")),
-                                                    F.slice("_cc", 1, F.col("_cn")))).alias("pos", "ch"))
-    v = bounded_broadcast(vocab.select("ch", "id"))
-    ids = (kept.join(v, "ch", "left")
-           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-                               .alias("_ids")))
-    full = base.join(ids, keys, "left")
-    tok = F.coalesce(F.col("_ids.id"), F.array().cast("array<int>"))
-    qn, cn = F.col("_qn"), F.col("_cn")
+    table = ids_by_code_point(vocab)
+    letters = lambda x: F.filter(F.split(clean_text(x), ""), lambda c: c != "")
+    encoded = lambda cs: F.transform(cs, lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(UNK_ID)))
+    base = df.select(*keys, *[k for k in keep if k in df.columns], letters(question).alias("_qc"),
+                     letters(context).alias("_cc"))
+    qn, cn = pair_lengths(F.size("_qc"), F.size("_cc"), max_length - 3)
+    base = base.withColumns({"_qi": encoded(F.slice("_qc", F.lit(1), qn)), "_ci": encoded(F.slice("_cc", F.lit(1), cn))})
+    qn, cn = F.size("_qi"), F.size("_ci")
     used = qn + cn + 3
     pad = F.greatest(F.lit(max_length) - used, F.lit(0))
-    input_ids = F.concat(F.array(F.lit(CLS_ID)), F.slice(tok, 1, qn), F.array(F.lit(SEP_ID)),
-                         F.slice(tok, qn + 1, cn), F.array(F.lit(SEP_ID)), F.array_repeat(F.lit(PAD_ID), pad))
+    cls, sep = F.array(F.lit(CLS_ID)), F.array(F.lit(SEP_ID))
+    input_ids = F.concat(cls, F.col("_qi"), sep, F.col("_ci"), sep, F.array_repeat(F.lit(PAD_ID), pad))
     types = F.concat(F.array_repeat(F.lit(0), qn + 2), F.array_repeat(F.lit(1), cn + 1), F.array_repeat(F.lit(0), pad))
     mask = F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), pad))
-    return full.select(*keys, *keep, input_ids.alias("input_ids"), types.alias("token_type_ids"),
+    return base.select(*base.columns[:-4], input_ids.alias("input_ids"), types.alias("token_type_ids"),
                        mask.alias("attention_mask"))
 
 

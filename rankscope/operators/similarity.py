@@ -2,27 +2,33 @@
 over all question x context pairs (T6, T8, K1), row cosine (T7), distinct-text
 reuse (J12).
 
-All-pairs top-k never materialises the pair set as Spark rows.  Questions and
-contexts are cut into hash blocks; each (question block, context block) pair
-is one cogroup task that scores its block in numpy and keeps only k rows per
-question.  Spark then merges the per-block lists with a top-k window
-(WindowGroupLimit).  Work is the unavoidable Q x N scoring, memory per task is
-bounded by the block sizes, and shuffle volume is Q x blocks x k.
+All-pairs top-k never materialises the pair set as Spark rows.  Contexts are
+dealt into blocks, each shuffled once; questions stream past the blocks that
+can hold one of their k best and leave k rows there, and Spark merges these
+with a top-k window (WindowGroupLimit).  Memory per task is bounded by the
+block size.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+import logging
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankscope.functions.text import WHITESPACE_CLASS
-from rankscope.operators.ranking import top_k
-from rankscope.session import materialize
+from rankscope.operators.blocks import lists_to_numpy, visit_blocks
+from rankscope.operators.ranking import range_number, top_k
+from rankscope.session import DEFAULT_BROADCAST_ROWS, conf_int, materialize
+
+_log = logging.getLogger(__name__)
 
 # Similarities are compared after rounding to this many places so engines that
 # add in a different order break ties the same way.
@@ -35,50 +41,90 @@ def tfidf_text(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), WHITESPACE_CLASS + "{2,}", " ")
 
 
-def char_ngrams(x: Column | str, n_min: int = 2, n_max: int = 4) -> Column:
-    """All character n-grams, n_min..n_max, every start position (code points)."""
-    s = tfidf_text(x)
-    parts = [F.regexp_extract_all(s, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), 1)
-             for n in range(n_min, n_max + 1)]
-    return F.concat(*parts)
+def gram_ids(text: str, n_min: int = 2, n_max: int = 4) -> np.ndarray:
+    """64-bit ids of all character n-grams of ``text``, n_min..n_max, every start position (code points)."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    out, h = [], None
+    for n in range(1, n_max + 1):
+        if len(c) < n:
+            break
+        h = c + np.uint64(1) if h is None else h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1:] + np.uint64(1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        if n >= n_min:
+            out.append(h + np.uint64(n))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: str, mult: str | None = None,
-                  n_min: int = 2, n_max: int = 4) -> DataFrame:
-    """(key, gram, w): raw tf x smooth idf  ln((1+N)/(1+df)) + 1, L2-normalised.
+def gram_counts(docs: DataFrame, key: str, text: str, mult: str | None = None, n_min: int = 2,
+                n_max: int = 4) -> DataFrame:
+    """(k, m, grams, tf): ascending gram ids of each prepared text and how often it holds them.
 
-    ``mult`` (optional) says how many documents a row stands for, so repeated
-    texts are tokenised once but still counted in N and df (J12).
-    Gram ids are xxhash64 of the gram (collisions ~ n^2 / 2^65).
+    A collision of ids (about n^2 / 2^65) would merge two grams.
     """
     m = F.col(mult).cast("long") if mult else F.lit(1).cast("long")
-    d = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), m.alias("_m"))
-    n_docs = d.agg(F.sum("_m")).scalar()
-    grams = d.select("_k", "_m", F.explode(char_ngrams("_t", n_min, n_max)).alias("g"))
-    tf = grams.groupBy("_k", "_m", F.xxhash64("g").alias("gram")).agg(F.count(F.lit(1)).alias("tf"))
-    dfc = tf.groupBy("gram").agg(F.sum("_m").alias("df"))
-    w = tf.join(dfc, "gram").select(
-        "_k", "gram", (F.col("tf") * (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)).alias("w"))
-    norm = w.groupBy("_k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return (w.join(norm, "_k")
-            .select(F.col("_k").alias(key), "gram", (F.col("w") / F.col("nrm")).alias("w")))
-
-
-def pack_vectors(vec: DataFrame, key: str) -> DataFrame:
-    """Long (key, gram, w) -> one row per key with aligned arrays, sorted by gram."""
-    return vec.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gram", "w"))).alias("_v")).select(
-        key, F.col("_v.gram").alias("grams"), F.col("_v.w").alias("weights"))
-
-
-def vector_dot(pairs: DataFrame, left: DataFrame, right: DataFrame, pair_key: str, left_key: str,
-               right_key: str, out: str = "similarity") -> DataFrame:
-    """T5: dot product of two long sparse vectors per pair; pairs sharing no gram get 0."""
-    lv = left.select(F.col(left_key).alias("_lk"), "gram", F.col("w").alias("_lw"))
-    rv = right.select(F.col(right_key).alias("_rk"), "gram", F.col("w").alias("_rw"))
-    p = pairs.select(pair_key, F.col(left_key).alias("_lk"), F.col(right_key).alias("_rk"))
-    a = p.join(lv, "_lk").select(pair_key, "_rk", "gram", "_lw")
-    dots = a.join(rv, ["_rk", "gram"]).groupBy(pair_key).agg(F.sum(F.col("_lw") * F.col("_rw")).alias(out))
-    return pairs.join(dots, pair_key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+
+    @F.pandas_udf("struct<grams: array<long>, tf: array<int>>")
+    def count(texts: pd.Series) -> pd.DataFrame:
+        found = [np.unique(gram_ids(t, n_min, n_max), return_counts=True) for t in texts]
+        return pd.DataFrame({"grams": [g for g, _ in found], "tf": [n.astype(np.int32) for _, n in found]})
+
+    return (docs.select(F.col(key).alias("k"), m.alias("m"), count(tfidf_text(text)).alias("_c"))
+            .select("k", "m", "_c.grams", "_c.tf"))
+
+
+def tfidf_packed(docs: DataFrame, key: str, text: str, mult: str | None = None, n_min: int = 2,
+                 n_max: int = 4) -> DataFrame:
+    """T4: (key, grams, weights): raw tf x smooth idf  ln((1+N)/(1+df)) + 1, L2-normalised, ascending by gram id.
+
+    ``mult`` (optional) says how many documents a row stands for, so repeated
+    texts are tokenised once but still counted in N and df (J12).  Document
+    frequencies are looked up in a broadcast where they number at most
+    ``rankscope.broadcastRows``, and joined by gram beyond it.
+    """
+    spark = docs.sparkSession
+    tf = materialize(gram_counts(docs, key, text, mult, n_min, n_max))
+    n_docs = tf.agg(F.sum("m")).scalar()
+    df = materialize(tf.select("m", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("m").alias("df")))
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
+    if df.count() <= conf_int(spark, "rankscope.broadcastRows", DEFAULT_BROADCAST_ROWS):
+        table = df.select("gram", idf.alias("idf")).orderBy("gram").toArrow()
+        shared = spark.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("idf").to_numpy()))
+
+        @F.pandas_udf("array<double>")
+        def weigh(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            grams, values = shared.value
+            for ids, counts in batches:
+                out = [np.asarray(n, dtype=np.float64) * values[np.searchsorted(grams, g)] for g, n in zip(ids, counts)]
+                yield pd.Series([w / np.sqrt((w * w).sum()) if len(w) else w for w in out])
+
+        return tf.select(F.col("k").alias(key), "grams", weigh("grams", "tf").alias("weights"))
+    w = (tf.select("k", F.explode(F.arrays_zip("grams", "tf")).alias("x")).select("k", F.col("x.grams").alias("gram"), "x.tf")
+         .join(df, "gram").select("k", "gram", (F.col("tf") * idf).alias("w")))
+    vec = w.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("gram", "w"))).alias("v"),
+                             F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    vec = vec.select("k", F.col("v.gram").alias("grams"), F.transform("v.w", lambda x: x / F.col("norm")).alias("weights"))
+    none = {"grams": F.coalesce("grams", F.array().cast("array<bigint>")),
+            "weights": F.coalesce("weights", F.array().cast("array<double>"))}
+    return tf.select("k").join(vec, "k", "left").withColumns(none).withColumnRenamed("k", key)
+
+
+def packed_dot(pairs: DataFrame, packed: DataFrame, key: str, pair_key: str, left_key: str, right_key: str,
+               out: str = "similarity") -> DataFrame:
+    """T5: ``pairs`` plus the dot product of its two sparse vectors; pairs sharing no gram get 0."""
+
+    @F.pandas_udf("double")
+    def dot(ga: pd.Series, wa: pd.Series, gb: pd.Series, wb: pd.Series) -> pd.Series:
+        values = []
+        for g, w, h, v in zip(ga, wa, gb, wb):
+            _, i, j = np.intersect1d(g, h, assume_unique=True, return_indices=True)
+            values.append(float(np.dot(w[i], v[j])))
+        return pd.Series(values, dtype="float64")
+
+    left = packed.select(F.col(key).alias(left_key), F.col("grams").alias("_lg"), F.col("weights").alias("_lw"))
+    right = packed.select(F.col(key).alias(right_key), F.col("grams").alias("_rg"), F.col("weights").alias("_rw"))
+    return (pairs.join(left, left_key).join(right, right_key)
+            .withColumn(out, dot("_lg", "_lw", "_rg", "_rw")).select(*pairs.columns, out))
 
 
 def row_cosine(a: Column | str, b: Column | str) -> Column:
@@ -105,117 +151,53 @@ def similarity(pairs: DataFrame, pair_key: str, left: str, right: str, backend:
         raise ValueError(f"unknown similarity backend {backend!r}; expected tfidf or vectors")
     texts = (pairs.select(F.col(left).alias("t")).unionByName(pairs.select(F.col(right).alias("t")))
              .groupBy("t").agg(F.count(F.lit(1)).alias("m")).withColumn("k", F.md5("t")))
-    vec = materialize(tfidf_vectors(texts, "k", "t", "m"))
+    packed = materialize(tfidf_packed(texts, "k", "t", "m"))
     keyed = pairs.select(pair_key, F.md5(left).alias("lk"), F.md5(right).alias("rk"))
-    return vector_dot(keyed, vec.withColumnRenamed("k", "lk"), vec.withColumnRenamed("k", "rk"),
-                      pair_key, "lk", "rk", out).select(pair_key, out)
-
-
-# --------------------------------------------------------------------------- blocks
+    return packed_dot(keyed, packed, "k", pair_key, "lk", "rk", out).select(pair_key, out)
 
-def block_counts(n_left: int, n_right: int, left_rows: int, right_rows: int) -> tuple[int, int]:
-    return max(1, math.ceil(n_left / left_rows)), max(1, math.ceil(n_right / right_rows))
 
+# --------------------------------------------------------------------------- top k
 
-def cogroup_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-                   left_rows: int = 1000, right_rows: int = 4000) -> DataFrame:
-    """Run ``fn(left_block, right_block)`` for every pair of hash blocks.
+class SparseBlock:
+    """Inverted index over one block of sparse rows, given as all grams, all weights and the rows' sizes.
 
-    Left rows are replicated once per right block and vice versa; a block
-    pair holds about left_rows x right_rows candidates, whatever the skew of
-    any grouping column, because blocks come from a hash of the unique keys.
+    Grams that many rows hold are multiplied as dense matrices, the rest is added up from short posting lists.
     """
-    left, right = materialize(left), materialize(right)
-    nl, nr = left.count(), right.count()
-    bl, br = block_counts(nl, nr, left_rows, right_rows)
-    lrep = (left.withColumn("_lb", F.pmod(F.xxhash64(left_key), F.lit(bl)).cast("int"))
-            .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    rrep = (right.withColumn("_rb", F.pmod(F.xxhash64(right_key), F.lit(br)).cast("int"))
-            .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
-
-    def run(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            kinds = {"string": "object", "long": "int64", "double": "float64"}
-            return pd.DataFrame({name: pd.Series([], dtype=kinds.get(kind, "object"))
-                                 for name, kind in (f.split() for f in schema.split(","))})
-        return fn(lpdf, rpdf)
 
-    return lrep.groupBy("_lb", "_rb").cogroup(rrep.groupBy("_lb", "_rb")).applyInPandas(run, schema)
-
-
-class SparseBlock:
-    """Inverted index over one block of packed sparse vectors (numpy)."""
-
-    def __init__(self, grams: Sequence[np.ndarray], weights: Sequence[np.ndarray]):
-        lens = np.fromiter((len(g) for g in grams), dtype=np.int64, count=len(grams))
-        self.n = len(grams)
-        if lens.sum() == 0:
-            self.uniq = np.zeros(0, dtype=np.int64)
-            return
-        g = np.concatenate([np.asarray(x, dtype=np.int64) for x in grams])
-        w = np.concatenate([np.asarray(x, dtype=np.float64) for x in weights])
-        doc = np.repeat(np.arange(self.n, dtype=np.int64), lens)
-        order = np.argsort(g, kind="stable")
-        self.g, self.w, self.doc = g[order], w[order], doc[order]
-        self.uniq, self.starts = np.unique(self.g, return_index=True)
-        self.ends = np.append(self.starts[1:], len(self.g))
-
-    def scores(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n, dtype=np.float64)
-        if len(self.uniq) == 0 or len(grams) == 0:
-            return out
-        grams = np.asarray(grams, dtype=np.int64)
-        pos = np.searchsorted(self.uniq, grams)
-        pos_c = np.minimum(pos, len(self.uniq) - 1)
-        ok = (pos < len(self.uniq)) & (self.uniq[pos_c] == grams)
-        if not ok.any():
-            return out
-        pos, wq = pos[ok], np.asarray(weights, dtype=np.float64)[ok]
-        s, ln = self.starts[pos], self.ends[pos] - self.starts[pos]
-        total = int(ln.sum())
-        idx = np.arange(total, dtype=np.int64) + np.repeat(s - (np.cumsum(ln) - ln), ln)
-        return np.bincount(self.doc[idx], weights=self.w[idx] * np.repeat(wq, ln), minlength=self.n)
-
-
-    def score_matrix(self, q_grams: Sequence[np.ndarray], q_weights: Sequence[np.ndarray],
-                     dense_share: float = 0.02) -> np.ndarray:
-        """Scores of many questions at once: grams present in at least
-        ``dense_share`` of the block's rows are multiplied as dense matrices
-        (BLAS); the rare rest is accumulated from their short posting lists."""
-        nq = len(q_grams)
-        out = np.zeros((nq, self.n), dtype=np.float64)
-        if len(self.uniq) == 0 or nq == 0:
-            return out
-        lens = self.ends - self.starts
-        freq = np.flatnonzero(lens >= max(8, int(self.n * dense_share)))
-        fpos = np.full(len(self.uniq), -1, dtype=np.int64)
-        fpos[freq] = np.arange(len(freq))
-        dense_q = np.zeros((nq, len(freq)), dtype=np.float64) if len(freq) else None
-        for i, (g, w) in enumerate(zip(q_grams, q_weights)):
-            if len(g) == 0:
-                continue
-            g = np.asarray(g, dtype=np.int64)
-            w = np.asarray(w, dtype=np.float64)
-            pos = np.searchsorted(self.uniq, g)
-            pos_c = np.minimum(pos, len(self.uniq) - 1)
-            ok = (pos < len(self.uniq)) & (self.uniq[pos_c] == g)
-            pos, w = pos[ok], w[ok]
-            f = fpos[pos]
-            if dense_q is not None:
-                dense_q[i, f[f >= 0]] = w[f >= 0]
-            rare, wr = pos[f < 0], w[f < 0]
-            if len(rare):
-                st, ln = self.starts[rare], self.ends[rare] - self.starts[rare]
-                idx = np.arange(int(ln.sum()), dtype=np.int64) + np.repeat(st - (np.cumsum(ln) - ln), ln)
-                out[i] += np.bincount(self.doc[idx], weights=self.w[idx] * np.repeat(wr, ln), minlength=self.n)
-        if dense_q is not None:
-            gidx = np.repeat(np.arange(len(self.uniq)), lens)
-            m = fpos[gidx] >= 0
-            dense_d = np.zeros((self.n, len(freq)), dtype=np.float64)
-            dense_d[self.doc[m], fpos[gidx[m]]] = self.w[m]
-            out += dense_q @ dense_d.T
-        return out
+    CELLS = 1 << 24
+
+    def __init__(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray):
+        self.n = len(sizes)
+        row = np.repeat(np.arange(self.n), sizes)
+        order = np.argsort(grams, kind="stable")
+        self.row, self.weight = row[order], weights[order]
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(grams))
+        held = self.ends - self.starts
+        common = np.argsort(-held, kind="stable")[:self.CELLS // max(self.n, 1)]
+        common = common[held[common] >= max(8, self.n // 50)]
+        self.column = np.full(len(self.grams), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n, len(common)))
+        of = np.repeat(self.column, held)
+        self.dense[self.row[of >= 0], of[of >= 0]] = self.weight[of >= 0]
+
+    def scores(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Dot products of each given sparse row with each row of the block."""
+        m = len(sizes)
+        who = np.repeat(np.arange(m), sizes)
+        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        known = self.grams[at] == grams if len(self.grams) else np.zeros(len(grams), bool)
+        who, at, weights = who[known], at[known], weights[known]
+        column = self.column[at]
+        left = np.zeros((m, self.dense.shape[1]))
+        left[who[column >= 0], column[column >= 0]] = weights[column >= 0]
+        out = left @ self.dense.T
+        who, at, weights = who[column < 0], at[column < 0], weights[column < 0]
+        start, held = self.starts[at], self.ends[at] - self.starts[at]
+        index = np.arange(held.sum()) + np.repeat(start - (np.cumsum(held) - held), held)
+        cell = np.repeat(who * self.n, held) + self.row[index]
+        return out + np.bincount(cell, self.weight[index] * np.repeat(weights, held), m * self.n).reshape(m, self.n)
 
 
 def top_indices(scores: np.ndarray, tie_rank: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
@@ -232,71 +214,192 @@ def top_indices(scores: np.ndarray, tie_rank: np.ndarray, mask: np.ndarray, k: i
     return cand[order][:k]
 
 
-def id_order(ids: pd.Series) -> np.ndarray:
-    """Position of every id in ascending id order (for tie-breaks in numpy)."""
-    return np.argsort(np.argsort(ids.to_numpy(), kind="stable"), kind="stable")
+def _top_rows(scores: np.ndarray, lid: list, rid: np.ndarray, tie: np.ndarray, k: int, exclude_same: bool) -> dict:
+    """Columns lid, rid and similarity of the k best rows of a block for each visitor; similarities are rounded."""
+    out: dict[str, list] = {"lid": [], "rid": [], "similarity": []}
+    scores = np.round(scores, SCORE_PLACES)
+    for i, own in enumerate(lid):
+        best = top_indices(scores[i], tie, rid != own if exclude_same else np.ones(len(rid), dtype=bool), k)
+        out["lid"] += [own] * len(best)
+        out["rid"] += rid[best].tolist()
+        out["similarity"] += scores[i][best].tolist()
+    return out
+
+
+def _result_schema(q: DataFrame, c: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("lid", q.schema["lid"].dataType), T.StructField("rid", c.schema["rid"].dataType),
+                         T.StructField("similarity", T.DoubleType())])
+
+
+def _merged(found: DataFrame, q_key: str, c_key: str, k: int) -> DataFrame:
+    best = top_k(found, ["lid"], [F.col("similarity").desc(), F.col("rid").asc()], k)
+    return best.select(F.col("lid").alias(q_key), F.col("rid").alias(c_key), "similarity", "pos")
 
 
 def topk_sparse(questions: DataFrame, contexts: DataFrame, q_key: str, c_key: str, k: int,
-                exclude_same: bool = False, left_rows: int = 1000, right_rows: int = 4000) -> DataFrame:
+                exclude_same: bool = False, block_rows: int = 4096, visitors: int = 256) -> DataFrame:
     """T6 + K1: for every question the k contexts with the highest sparse dot
     product, order (similarity desc, context key asc).  Inputs are packed
-    vectors (key, grams, weights).  Output (q_key, c_key, similarity, pos)."""
-    q = questions.select(F.col(q_key).alias("lid"), F.col("grams").alias("grams"),
-                         F.col("weights").alias("weights"))
-    c = contexts.select(F.col(c_key).alias("rid"), F.col("grams").alias("grams"),
-                        F.col("weights").alias("weights"))
-    ltype = dict(q.dtypes)["lid"]
-    rtype = dict(c.dtypes)["rid"]
-
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        blk = SparseBlock(list(rp["grams"]), list(rp["weights"]))
-        rid = rp["rid"].to_numpy()
-        tie = id_order(rp["rid"])
-        out_l, out_r, out_s = [], [], []
-        mat = np.round(blk.score_matrix(list(lp["grams"]), list(lp["weights"])), SCORE_PLACES)
-        for i, lid in enumerate(lp["lid"]):
-            sc = mat[i]
-            mask = (rid != lid) if exclude_same else np.ones(len(rid), dtype=bool)
-            sel = top_indices(sc, tie, mask, k)
-            out_l.extend([lid] * len(sel))
-            out_r.extend(rid[sel].tolist())
-            out_s.extend(sc[sel].tolist())
-        return pd.DataFrame({"lid": out_l, "rid": out_r, "similarity": out_s})
-
-    blocks = cogroup_blocks(q, c, "lid", "rid", fn, f"lid {ltype}, rid {rtype}, similarity double",
-                            left_rows, right_rows)
-    best = top_k(blocks, ["lid"], [F.col("similarity").desc(), F.col("rid").asc()], k)
-    return best.select(F.col("lid").alias(q_key), F.col("rid").alias(c_key), "similarity", "pos")
+    vectors (key, grams, weights).  Output (q_key, c_key, similarity, pos).
+
+    Contexts are dealt to blocks by a hash of their key, each shuffled once
+    and indexed once; questions stream past every block, ``visitors`` at a
+    time, and leave k rows there.
+    """
+    q = questions.select(F.col(q_key).alias("lid"), "grams", "weights")
+    c = materialize(contexts.select(F.col(c_key).alias("rid"), "grams", "weights"))
+    blocks = max(1, -(-c.count() // block_rows))
+    result = _result_schema(q, c)
+    arrow = to_arrow_schema(result)
+
+    def hold(rows: pa.Table) -> tuple:
+        grams, sizes = lists_to_numpy(rows.column("grams"), "int64")
+        rid = rows.column("rid").to_pandas().to_numpy()
+        return SparseBlock(grams, lists_to_numpy(rows.column("weights"), "float64")[0], sizes), rid, id_order(rid)
+
+    def meet(held: tuple, some: pa.Table) -> Iterator[pa.RecordBatch]:
+        index, rid, tie = held
+        for a in range(0, some.num_rows, visitors):
+            part = some.slice(a, visitors)
+            grams, sizes = lists_to_numpy(part.column("grams"), "int64")
+            scores = index.scores(grams, lists_to_numpy(part.column("weights"), "float64")[0], sizes)
+            lid = part.column("lid").to_pylist()
+            yield pa.RecordBatch.from_pydict(_top_rows(scores, lid, rid, tie, k, exclude_same), arrow)
+
+    dealt = c.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    visits = q.withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    return _merged(visit_blocks(dealt, visits, hold, meet, result), q_key, c_key, k)
+
+
+def id_order(ids: np.ndarray) -> np.ndarray:
+    """Position of every id in ascending id order (for tie-breaks in numpy)."""
+    return np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+
+
+def _unit(rows: pa.Table) -> np.ndarray:
+    values, sizes = lists_to_numpy(rows.column("v"), "float64")
+    m = values.reshape(len(sizes), -1)
+    return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
+
+
+class Cells(NamedTuple):
+    """Pivot cells: contexts with their block, and each block's pivot, least and largest angle to it, and size."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    pivot: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    size: np.ndarray
+
+
+#: Pivots at most, and blocks whose angles are kept on the driver.
+MOST_PIVOTS, MOST_BLOCKS = 512, 1 << 17
+
+
+def pivot_cells(c: DataFrame, block_rows: int) -> Cells:
+    """Contexts (rid, v) in blocks of about ``block_rows``, alike in direction: a shell round the nearest of some pivots.
+
+    Pivots are the contexts smallest by a hash, one for each block wanted up to ``MOST_PIVOTS``.
+    """
+    n = c.count()
+    wanted = max(1, min(MOST_PIVOTS, -(-n // block_rows)))
+    first = c.select("v").orderBy(F.xxhash64("v"), "v").limit(wanted).toArrow()
+    pivots = _unit(first)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = np.clip(_unit(pa.Table.from_batches([batch])) @ pivots.T, -1, 1)
+            cell = cos.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(np.arccos(cos[np.arange(len(cell)), cell]))],
+                names=[*batch.schema.names, "cell", "angle"])
+
+    placed = c.mapInArrow(nearest, T.StructType(c.schema.fields + [T.StructField("cell", T.IntegerType()),
+                                                                   T.StructField("angle", T.DoubleType())]))
+    placed = range_number(placed, ["cell"], [F.col("angle").asc(), F.col("rid").asc()], "_n")
+    block = F.col("cell").cast("long") * (1 << 40) + F.floor((F.col("_n") - 1) / block_rows)
+    placed = materialize(placed.withColumn("block", block).drop("_n"))
+    about = (placed.groupBy("block", "cell").agg(F.min("angle"), F.max("angle"), F.count(F.lit(1)))
+             .orderBy("block").toPandas())  # a row for each block
+    if len(about) > MOST_BLOCKS:
+        raise ValueError(f"{len(about)} blocks; take larger ones than {block_rows} rows")
+    numbers = {int(b): i for i, b in enumerate(about["block"])}
+    lookup = placed.sparkSession.createDataFrame(list(numbers.items()) or [(0, 0)], "block long, _block long")
+    rows = (placed.join(F.broadcast(lookup), "block").drop("block", "cell", "angle")
+            .withColumnRenamed("_block", "block"))
+    return Cells(rows, pivots, *(about.iloc[:, k].to_numpy() for k in (1, 2, 3, 4)))
+
+
+def _visits(q: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
+    """Questions (lid, v[, floor]) with a row for each block they have to see.
+
+    First those of the best bounds that hold k + 1 contexts together; then, of the others, all whose bound reaches
+    the question's k-th similarity so far, ``floor``.  The bound of a block is the cosine of the least angle that
+    the triangle inequality leaves between the question and any row of the block.
+    """
+    _, pivots, pivot, least, most, size = cells
+    slack = 4 * np.sqrt(2 * (pivots.shape[1] + 8) * np.finfo(np.float64).eps)
+
+    def seen(unit: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
+        angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))[:, pivot]
+        apart = np.maximum(np.maximum(angle - most, least - angle) - slack, 0)
+        order = np.argsort(apart, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        early = np.zeros(apart.shape, dtype=bool)
+        np.put_along_axis(early, order, before <= k, axis=1)
+        return early if floor is None else ~early & (np.cos(apart) >= floor[:, None] - 10.0 ** -SCORE_PLACES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 22) // len(size))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                some = batch.slice(a, step)
+                floor = None if first else some.column("floor").to_numpy(zero_copy_only=False)
+                row, block = np.nonzero(seen(_unit(pa.Table.from_batches([some])), floor))
+                part = some.select(["lid", "v"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(block, pa.int64())], names=["lid", "v", "block"])
+
+    schema = T.StructType([q.schema["lid"], q.schema["v"], T.StructField("block", T.LongType())])
+    return q.mapInArrow(run, schema)
 
 
 def topk_dense(questions: DataFrame, contexts: DataFrame, q_key: str, c_key: str, vec: str, k: int,
-               exclude_same: bool = False, left_rows: int = 2000, right_rows: int = 8000) -> DataFrame:
+               exclude_same: bool = False, block_rows: int = 8192, visitors: int = 1024) -> DataFrame:
     """T8 + K1: cosine with norms floored at 1e-12, top k per question
-    (similarity desc, context key asc).  Output (q_key, c_key, similarity, pos)."""
-    q = questions.select(F.col(q_key).alias("lid"), F.col(vec).alias("v"))
-    c = contexts.select(F.col(c_key).alias("rid"), F.col(vec).alias("v"))
-    ltype = dict(q.dtypes)["lid"]
-    rtype = dict(c.dtypes)["rid"]
-
-    def unit(vs: pd.Series) -> np.ndarray:
-        m = np.vstack([np.asarray(v, dtype=np.float64) for v in vs])
-        return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
-
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        sims = np.round(unit(lp["v"]) @ unit(rp["v"]).T, SCORE_PLACES)
-        rid = rp["rid"].to_numpy()
-        tie = id_order(rp["rid"])
-        out_l, out_r, out_s = [], [], []
-        for i, lid in enumerate(lp["lid"]):
-            mask = (rid != lid) if exclude_same else np.ones(len(rid), dtype=bool)
-            sel = top_indices(sims[i], tie, mask, k)
-            out_l.extend([lid] * len(sel))
-            out_r.extend(rid[sel].tolist())
-            out_s.extend(sims[i][sel].tolist())
-        return pd.DataFrame({"lid": out_l, "rid": out_r, "similarity": out_s})
-
-    blocks = cogroup_blocks(q, c, "lid", "rid", fn, f"lid {ltype}, rid {rtype}, similarity double",
-                            left_rows, right_rows)
-    best = top_k(blocks, ["lid"], [F.col("similarity").desc(), F.col("rid").asc()], k)
-    return best.select(F.col("lid").alias(q_key), F.col("rid").alias(c_key), "similarity", "pos")
+    (similarity desc, context key asc).  Output (q_key, c_key, similarity, pos).
+
+    Contexts lie in pivot cells; a question first visits the nearest blocks,
+    then those whose triangle-inequality bound reaches its k-th similarity, so
+    that blocks which cannot hold one of the k are left out.  The number of
+    visits is logged.  Vectors have one length and no nulls.
+    """
+    q = materialize(questions.select(F.col(q_key).alias("lid"), F.col(vec).alias("v")))
+    c = materialize(contexts.select(F.col(c_key).alias("rid"), F.col(vec).alias("v")))
+    result = _result_schema(q, c)
+    if c.isEmpty():
+        return q.sparkSession.createDataFrame([], result).select(
+            F.col("lid").alias(q_key), F.col("rid").alias(c_key), "similarity", F.lit(0).alias("pos"))
+    arrow, cells = to_arrow_schema(result), pivot_cells(c, block_rows)
+
+    def hold(rows: pa.Table) -> tuple:
+        rid = rows.column("rid").to_pandas().to_numpy()
+        return _unit(rows), rid, id_order(rid)
+
+    def meet(held: tuple, some: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, rid, tie = held
+        for a in range(0, some.num_rows, visitors):
+            part = some.slice(a, visitors)
+            lid = part.column("lid").to_pylist()
+            yield pa.RecordBatch.from_pydict(_top_rows(_unit(part) @ unit.T, lid, rid, tie, k, exclude_same), arrow)
+
+    near = materialize(visit_blocks(cells.rows, _visits(q, cells, k, True), hold, meet, result))
+    if len(cells.size) == 1:
+        return _merged(near, q_key, c_key, k)
+    ranked = _merged(near, "lid", "rid", k)
+    floors = ranked.where(F.col("pos") == k).select("lid", F.col("similarity").alias("floor"))
+    asked = q.join(floors, "lid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    more = materialize(_visits(asked, cells, k, False))
+    _log.info("%d visits after the first to %d blocks", more.count(), len(cells.size))
+    far = visit_blocks(cells.rows, more, hold, meet, result)
+    return _merged(near.union(far), q_key, c_key, k)

@@ -15,7 +15,7 @@ from rankscope.operators.scoring import (baseline_scores, bonus_scores, build_fe
                                          score_pairs)
 from rankscope.operators.sequences import build_vocab, encode_pairs, group_rows
 from rankscope.plans import sql_text as S
-from rankscope.plans.builders import easy_candidates, easy_sql
+from rankscope.plans.builders import QA_EASY_SQL, easy_candidates
 from rankscope.plans.catalog import register
 from rankscope.plans.comparison import stats_sql
 from rankscope.session import materialize
@@ -35,7 +35,7 @@ def qa_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(easy_candidates(spark, sf_dir).withColumn("embedding_score", F.round("embedding_score", 6)))
 
 
-EASY = easy_sql()
+EASY = QA_EASY_SQL
 
 
 @register("pair_features", f"""

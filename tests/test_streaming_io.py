@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankscope.operators.metrics import evaluate_methods
 from rankscope.operators.ranking import rank_scores
-from rankscope.sources.csv import head_rows, parse_score_files, positive_mask, write_csv
+from rankscope.sources.csv import head_rows, method_files, positive_mask, write_csv
 from rankscope.streaming import evaluate_score_stream
 
 
@@ -27,9 +27,9 @@ def test_stream_matches_batch(spark):
 
 
 def test_csv_helpers(spark):
-    assert parse_score_files([" a = x ", "b=y"]) == {"a": "x", "b": "y"}
+    assert method_files([" a = x ", "b=y"]) == {"a": "x", "b": "y"}
     with pytest.raises(ValueError):
-        parse_score_files(["nope"])
+        method_files(["nope"])
     df = spark.createDataFrame([("q2", "positive", "c1"), ("q1", "hard", "c2"), ("q1", "gold", "c0")],
                                "qid string, source_type string, context_id string")
     assert [r.context_id for r in head_rows(df, 2).collect()] == ["c0", "c2"]
