@@ -17,6 +17,8 @@ from rankscope.llm.quality import WORD_BREAK
 
 CAPACITY = 2048
 GROUP_ROWS = 4096
+#: Copies of a row that are written out at a time.
+_COPIES = 10_000
 
 
 class ResidualTree:
@@ -100,16 +102,19 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-         cluster_col: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+         cluster_col: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,
+         clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: id, piece, n_pieces, first_word, n_words, bin_id, bin_offset, bin_words.
 
     Lengths are words between ASCII white space; ``cluster_col`` names the
-    duplicate cluster (by default the exact text).  A null or empty text is
-    one piece of no words, which takes a place in a bin like any other; a null
-    source or cluster is a value of its own; repeated rows are pieces of one
-    cluster and go to different bins; an empty table gives an empty one.  Bins
-    belong to one group: ``bin_id`` is the group's number times 2^32 plus the
-    bin's.  More groups than one cost part of a bin each.
+    duplicate cluster, or ``clusters`` gives that of each text as (key,
+    cluster), key being ``common.text_key``; by default it is the exact text.
+    A null or empty text is one piece of no words, which takes a place in a bin
+    like any other; a null source or cluster is a value of its own; repeated
+    rows are pieces of one cluster and go to different bins, dealt over all
+    groups; an empty table gives an empty one.  Bins belong to one group:
+    ``bin_id`` is the group's number times 2^32 plus the bin's.  More groups
+    than one cost part of a bin each.  Other columns are not read.
     """
     if capacity < 1 or group_rows < 1:
         raise ValueError("capacity and group_rows must be positive")
@@ -118,9 +123,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.concat(F.lit("="), F.col(cluster_col).cast("string")), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                        cluster.alias("cluster"), text_key(text_col).alias("key"), words.cast("long").alias("len"))
-    rows = materialize(rows)
-    groups = max(1, -(-rows.count() // group_rows))
-    rows = (rows.withColumn("group", F.pmod(F.xxhash64("id", "key"), F.lit(groups)))
+    if clusters is not None:
+        own = clusters.select(F.col("key"), F.md5(F.concat(F.lit("="), "cluster").cast("binary")).alias("own"))
+        rows = rows.join(own, "key", "left").withColumn("cluster", F.coalesce("own", "cluster")).drop("own")
+    kinds = materialize(rows.groupBy("id", "source", "cluster", "key", "len").agg(F.count(F.lit(1)).alias("copies")))
+    groups = max(1, -(-(kinds.agg(F.sum("copies")).first()[0] or 0) // group_rows))
+    # equal rows are interchangeable, so their number can tell them apart; some thousands of them are written out at a time
+    last = F.col("copies") - 1
+    rows = (kinds.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_COPIES).cast("long"))))
+            .repartition("id", "key", "from")
+            .withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (_COPIES - 1), last)))))
+    dealt = F.when(F.col("copy") == 0, F.xxhash64("id", "key")).otherwise(F.xxhash64("id", "key", "copy"))
+    rows = (rows.withColumn("group", F.pmod(dealt, F.lit(groups)))
             .withColumn("n_pieces", F.greatest(F.ceil(F.col("len") / capacity), F.lit(1)))
             .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)))
             .withColumn("first_word", F.col("piece") * capacity)

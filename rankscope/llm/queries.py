@@ -84,7 +84,8 @@ def op9_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=simhash.text_clusters(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op11_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,14 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp",
                      shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` plus the signed long holding the 64 fingerprint bits."""
+    """``docs`` plus ``out``, the last column: the signed long holding the 64 fingerprint bits."""
+    names = docs.columns
+    docs, (text_col,) = numbered(docs, text_col)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64)
                          .view(np.int64))
 
-    return docs.withColumn(out, fp(F.col(text_col).cast("string")))
+    return docs.select("*", fp(F.col(text_col).cast("string"))).toDF(*names, out)
 
 
 class Forest:
@@ -240,6 +242,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
+def text_clusters(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+                  seed: int = SEED) -> DataFrame:
+    """(key, cluster): the component of each distinct text, by the digest of the text (``common.text_key``)."""
+    fps, roots = _components(docs, text_col, text_col, shingle, radius, seed)
+    return fps.select("key", "fp").distinct().join(roots, "fp").select("key", F.col("root").cast("string").alias("cluster"))
+
+
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one document of each component.
