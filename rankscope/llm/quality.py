@@ -30,7 +30,8 @@ CHI_CUT = 23.5127
 #: Share of the scatter that the nearest 75 % of a normal sample keep (chi-square, 6 over 4 degrees).
 SUBSET_SCATTER = 0.6692
 MIN_ROWS = 40
-STEPS = 12
+#: A concentration step whose log determinant falls by no more than this is a group's last.
+LEAST_FALL = 1e-4
 #: Parts into which a group's rows are dealt where they meet its estimate, so that a hot group is no one task.
 SALTS = 64
 
@@ -131,15 +132,16 @@ def _moments(rows: DataFrame, names: list[str], floors: list[float], scale: floa
 
 
 def mcd_estimates(rows: DataFrame, names: list[str], floors: list[float], subset: float = SUBSET,
-                  steps: int = STEPS) -> DataFrame:
+                  least: float = LEAST_FALL) -> DataFrame:
     """Per group ``g`` the centre m_<i> and Cholesky factor l_<i>_<j> of the MCD scatter.
 
     Starts from coordinatewise medians and median absolute deviations; each
     concentration step takes the ``subset`` share of a group's rows nearest to
-    the present estimate and refits on them, until no group's log determinant
-    falls by more than 1e-4 or ``steps`` are done.  Quantiles are Spark's
-    bounded sketches (accuracy 10,000), so a group never meets in one task.
-    Rows with a null or non-finite statistic must be left out before.
+    the present estimate and refits on them.  A group goes on for as long as
+    its log determinant falls by more than ``least``; as the floors bound it
+    from below, every group settles, and keeps its smallest.  Quantiles are
+    Spark's bounded sketches (accuracy 10,000), so a group never meets in one
+    task.  Rows with a null or non-finite statistic must be left out before.
     """
     k = len(names)
     if "_salt" not in rows.columns:
@@ -155,17 +157,21 @@ def mcd_estimates(rows: DataFrame, names: list[str], floors: list[float], subset
             own = F.pow(F.col(f"d_{i}") * 1.4826, 2) + floors[i] ** 2
             start = start.withColumn(f"c_{i}_{j}", own if i == j else F.lit(0.0))
     est = materialize(_with_factor(start, names))
-    before = None
-    for _ in range(steps):
+    # the start is no fit, so every group takes a first step whatever its determinant
+    est, settled = est.withColumn("logdet", F.lit(float("inf"))), None
+    while not est.isEmpty():
         near = _with_distance(_meet(rows, est, "g"), names, "d2").select("g", "_salt", *names, "d2")
         cut = materialize(near.groupBy("g").agg(F.percentile_approx("d2", subset, 10_000).alias("cut")))
         kept = _meet(near, cut, "g").where("d2 <= cut")
-        est = materialize(_with_factor(_moments(kept, names, floors, SUBSET_SCATTER), names))
-        now = est.agg(F.sum("logdet")).first()[0]
-        if before is not None and now is not None and abs(before - now) < 1e-4:
-            break
-        before = now
-    return est
+        new = _with_factor(_moments(kept, names, floors, SUBSET_SCATTER), names)
+        fit = F.struct(*[c for c in new.columns if c != "g"])
+        both = materialize(est.select("g", fit.alias("old")).join(new.select("g", fit.alias("new")), "g", "left"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - least, F.lit(False))
+        best = F.when(F.col("new.logdet") < F.col("old.logdet"), F.col("new")).otherwise(F.col("old"))
+        done = both.where(~falls).select("g", best.alias("best")).select("g", "best.*")
+        settled = done if settled is None else settled.unionByName(done)
+        est = both.where(falls).select("g", "new.*")
+    return settled if settled is not None else est
 
 
 def grouped(rows: DataFrame, lang_col: str, source_col: str, min_rows: int = MIN_ROWS) -> DataFrame:
