@@ -3,7 +3,7 @@
 Candidates are found in every text, their values hashed, and the hashes counted
 by distinct owner and repository over the whole corpus.  A value seen under
 several owners is a widely copied example; one that a single owner has is a
-live-looking credential.
+live-looking credential, unless several of its repositories share it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ KINDS = [
 ]
 #: The kind that ownership adds: long words that mix capitals, small letters and digits.
 ADDED = ("owned", "([A-Za-z0-9+/_-]+)", 1, 24)
-#: A value that this many owners have is an example.
-EXAMPLE_OWNERS = 3
+#: A value that this many owners have is an example; one that a single owner keeps in this many repositories is its
+#: own boilerplate, shared among them.
+EXAMPLE_OWNERS, SHARED_REPOS = 3, 3
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
@@ -79,7 +80,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(digest, n_owners, n_repos, n_docs) of every candidate value; an unknown owner is one owner."""
+    """(digest, n_owners, n_repos, n_spans) of every candidate value; an unknown owner is one owner."""
     owner = F.coalesce(F.concat(F.lit("="), F.col("owner")), F.lit(""))
     once = (found.where("digest is not null").withColumn("owner", owner)
             .groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("n")))
@@ -102,7 +103,8 @@ def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc = ["id", "key", "owner", "repo"]
     rows = found.where("kind is not null").join(freq, "digest")
     verdict = (F.when(F.col("n_owners") >= example_owners, "example")
-               .when(F.col("n_owners") > 1, "shared").when(F.col("n_owners") == 1, "live"))
+               .when((F.col("n_owners") > 1) | (F.col("n_repos") >= SHARED_REPOS), "shared")
+               .when(F.col("n_owners") == 1, "live"))
     rows = rows.withColumn("verdict", verdict)
     # Overlap with a base span: the furthest end of base spans that start before, and the next base start.
     by_doc = Window.partitionBy(*doc)

@@ -15,32 +15,33 @@ def secret_sql() -> str:
     added = secrets.ADDED[0]
     kinds = [*secrets.KINDS, secrets.ADDED]
     found = " UNION ALL ".join(
-        f"SELECT doc_id, owner, '{kind}' AS kind, {number} AS kind_no, {least} AS least, "
+        f"SELECT doc_id, owner, repo, '{kind}' AS kind, {number} AS kind_no, {least} AS least, "
         f"regexp_extract_all(t, {_quoted(runs.get(kind, pattern))}) AS w, "
         f"regexp_extract_all(t, {_quoted(runs.get(kind, pattern))}, {group}) AS v, "
         f"string_split_regex(t, {_quoted(runs.get(kind, pattern))}) AS b FROM d"
         for number, (kind, pattern, group, least) in enumerate(kinds))
     counts = ", ".join(f"COUNT(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.KINDS)
     return f"""
-WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, COALESCE('=' || source, '') AS owner FROM documents),
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, COALESCE('=' || source, '') AS owner,
+                  {{'s': source, 'l': lang}} AS repo FROM documents),
 x AS ({found}),
-m AS (SELECT doc_id, owner, kind, kind_no, least, i, length(b[i]) AS gap, length(w[i]) AS size, v[i] AS value
+m AS (SELECT doc_id, owner, repo, kind, kind_no, least, i, length(b[i]) AS gap, length(w[i]) AS size, v[i] AS value
       FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM x WHERE len(w) > 0)),
 p AS (SELECT *, SUM(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m),
-f AS (SELECT doc_id, owner, kind, kind_no, value, stop - size AS start, stop FROM p
+f AS (SELECT doc_id, owner, repo, kind, kind_no, value, stop - size AS start, stop FROM p
       WHERE length(value) >= least AND (kind <> '{added}' OR (regexp_matches(value, '[A-Z]')
             AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')))),
-o AS (SELECT value, COUNT(DISTINCT owner) AS owners FROM f GROUP BY value),
-s AS (SELECT f.*, o.owners FROM f JOIN o USING (value)
+o AS (SELECT value, COUNT(DISTINCT owner) AS owners, COUNT(DISTINCT (owner, repo)) AS repos FROM f GROUP BY value),
+s AS (SELECT f.*, o.owners, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} THEN 'example'
+             WHEN owners > 1 OR repos >= {secrets.SHARED_REPOS} THEN 'shared' ELSE 'live' END AS verdict FROM f JOIN o USING (value)
       WHERE kind <> '{added}' OR (owners = 1 AND NOT EXISTS (
         SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.kind <> '{added}' AND g.start < f.stop AND f.start < g.stop))),
 r AS (SELECT doc_id, {counts},
              string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no)
                FILTER (kind <> '{added}') AS base,
              string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS spans,
-             COUNT(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_example,
-             COUNT(*) FILTER (owners > 1 AND owners < {secrets.EXAMPLE_OWNERS}) AS n_shared,
-             COUNT(*) FILTER (owners = 1) AS n_live
+             COUNT(*) FILTER (verdict = 'example') AS n_example,
+             COUNT(*) FILTER (verdict = 'shared') AS n_shared, COUNT(*) FILTER (verdict = 'live') AS n_live
       FROM s GROUP BY doc_id)
 SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
        sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(n_example, 0) AS n_example,
