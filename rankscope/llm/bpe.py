@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankscope.llm.common import numbered
+
 PIECES = 1 << 18
 PAIRS = 1 << 19
 #: Pieces with more bytes of ids are not memoised.
@@ -199,8 +201,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
     ``path`` is the vocabulary on every worker (a package's file, or one sent
     with ``SparkContext.addFile``).  Rows are independent: repeated rows and
-    nulls in other columns pass through; an empty table gives an empty one.
+    nulls in other columns pass through, as do columns of any name, before the
+    added one; an empty table gives an empty one.
     """
+    names = docs.columns
+    docs, (text_col,) = numbered(docs, text_col)
 
     @F.pandas_udf("array<int>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -208,11 +213,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
         for batch in texts:
             yield pd.Series([np.frombuffer(own.encode(t or ""), dtype="<i4") for t in batch])
 
-    return docs.withColumn(out, encode(F.col(text_col).cast("string")))
+    return docs.select("*", encode(F.col(text_col).cast("string"))).toDF(*names, out)
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` plus ``out``: the bytes of each array of ids; null gives null."""
+    """``docs`` plus ``out``, the last column: the bytes of each array of ids; null gives null."""
+    names = docs.columns
+    docs, (ids_col,) = numbered(docs, ids_col)
 
     @F.pandas_udf("binary")
     def decode(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -220,11 +227,16 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids_col: str = "i
         for batch in arrays:
             yield pd.Series([None if a is None else own.decode(np.asarray(a, dtype="<u4").tobytes()) for a in batch])
 
-    return docs.withColumn(out, decode(F.col(ids_col)))
+    return docs.select("*", decode(F.col(ids_col))).toDF(*names, out)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, plus n_tokens, ids_sha256 and decoded_sha256, made in one pass over the texts."""
+    """``docs`` without the text, plus n_tokens, ids_sha256 and decoded_sha256, made in one pass over the texts.
+
+    Columns of any name pass through; the added ones come last.  An empty table gives an empty one.
+    """
+    carried = [c for c in docs.columns if c != text_col]
+    docs, (text_col,) = numbered(docs, text_col)
 
     @F.pandas_udf("struct<n_tokens long, ids_sha256 string, decoded_sha256 string>")
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -238,4 +250,5 @@ def token_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     rest = [c for c in docs.columns if c != text_col]
-    return docs.select(*rest, digest(F.col(text_col).cast("string")).alias("_d")).select(*rest, "_d.*")
+    return docs.select(*rest, digest(F.col(text_col).cast("string")).alias("_d")).select(*rest, "_d.*").toDF(
+        *carried, "n_tokens", "ids_sha256", "decoded_sha256")
