@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import round_metric, softplus, to_double_or
-from rankscope.operators.ranking import number_within, score_order, top_k
+from rankscope.operators.ranking import dealt_by, number_within, score_order, top_k
 from rankscope.session import materialize
 
 SUMMARY_COLUMNS = ["method", "num_eval_qids", "precision_at_1", "precision_at_3",
@@ -26,19 +26,18 @@ def _gain_sum(label: Column, pos: Column, k: int) -> Column:
 
 
 def per_query_metrics(scores: DataFrame, candidates: DataFrame, ks: Sequence[int] = (1, 3, 5),
-                      ndcg_k: int = 5) -> DataFrame:
+                      ndcg_k: int = 5, dealt: bool = False, hot_rows: int | None = None) -> DataFrame:
     """A1-A3 per (method, qid) on scores joined to candidate labels.
 
     hit@k and DCG use the position among joined rows sorted by rank (K2);
     reciprocal rank uses the stored rank value of the best positive.
+    ``dealt``: both come from tables bucketed by qid (sources.store).
     """
     s = scores.select("method", "qid", "context_id", F.col("rank").cast("double").alias("rank"))
     lab = candidates.select("qid", "context_id", F.col("label"))
-    # read by three branches below: joined once
-    j = materialize(s.join(lab, ["qid", "context_id"]))
-    if j.isEmpty():
-        raise ValueError("no score row has a candidate with its qid and context_id")
     keys = ["method", "qid"]
+    # read by three branches below
+    j = dealt_by(s.join(lab, ["qid", "context_id"]), keys, s, dealt, hot_rows)
     kmax = max(max(ks), ndcg_k)
     by_rank = top_k(j, keys, [F.col("rank").asc_nulls_last(), F.col("context_id").asc()], kmax)
     pos, label = F.col("pos"), F.col("label")
@@ -51,12 +50,15 @@ def per_query_metrics(scores: DataFrame, candidates: DataFrame, ks: Sequence[int
     out = (full.join(head, keys).join(ideal, keys)
            .withColumn("rr", F.coalesce(F.lit(1.0) / F.col("best_rank"), F.lit(0.0)))
            .withColumn(f"ndcg_{ndcg_k}", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)))
-    return out.select(*keys, *[f"hit_{k}" for k in ks], "rr", f"ndcg_{ndcg_k}")
+    out = materialize(out.select(*keys, *[f"hit_{k}" for k in ks], "rr", f"ndcg_{ndcg_k}"))
+    if out.isEmpty():
+        raise ValueError("no score row has a candidate with its qid and context_id")
+    return out
 
 
-def evaluate_methods(scores: DataFrame, candidates: DataFrame, places: int | None = 4) -> DataFrame:
+def evaluate_methods(scores: DataFrame, candidates: DataFrame, places: int | None = 4, dealt: bool = False) -> DataFrame:
     """A4/A5 + P12: one summary row per method, all methods in one plan (Q3)."""
-    pq = per_query_metrics(scores, candidates)
+    pq = per_query_metrics(scores, candidates, dealt=dealt)
     summ = pq.groupBy("method").agg(
         F.count(F.lit(1)).alias("num_eval_qids"),
         F.avg("hit_1").alias("precision_at_1"), F.avg("hit_3").alias("precision_at_3"),

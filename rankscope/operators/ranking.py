@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import nan_to_null
 from rankscope.operators.scan import Scan, running
-from rankscope.session import DEFAULT_BROADCAST_ROWS, DEFAULT_HOT_GROUP_ROWS, conf_int
+from rankscope.session import DEFAULT_BROADCAST_ROWS, DEFAULT_HOT_GROUP_ROWS, conf_int, materialize
 
 SCORE_COLUMNS = ["qid", "context_id", "score", "rank", "method", "latency_ms"]
 
@@ -49,6 +49,24 @@ def range_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ou
     return numbered.withColumn(out, F.col("_number")).drop("_number")
 
 
+def dealt_by(rows: DataFrame, keys: Sequence[str], sizes: DataFrame, dealt: bool = False,
+             hot_rows: int | None = None) -> DataFrame:
+    """``rows`` ready for several windows and aggregates by ``keys`` over the same rows.
+
+    They are dealt by the keys in one exchange, which all branches share.
+    Where a group of ``sizes`` (rows with the same keys) is hot they are written
+    out instead, so that no task gets the whole group and each branch limits it
+    before its own exchange.  ``dealt`` says that they are read from tables
+    bucketed by one of the keys and need neither.
+    """
+    if dealt:
+        return rows
+    limit = _hot_rows(rows, hot_rows)
+    if limit > 0 and not sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).isEmpty():
+        return materialize(rows)
+    return rows.repartition(*keys)
+
+
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank",
                   hot_rows: int | None = None, size_hint: DataFrame | None = None) -> DataFrame:
     """row_number() over (partition by keys order by order), skew-safe.

@@ -71,17 +71,29 @@ def row_scores(raw, n: int, apply_sigmoid: bool = False) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-a)) if apply_sigmoid else a
 
 
+def row_subset(rows: DataFrame, split: DataFrame | None, subset: str) -> DataFrame:
+    """All rows, or those whose qid ``split`` (qid, split) puts into ``subset``, train or test."""
+    if subset == "all":
+        return rows
+    if subset not in ("train", "test") or split is None:
+        raise ValueError("a subset is all, or train or test of a given split")
+    return rows.join(split.where(F.col("split") == subset).select("qid"), "qid", "left_semi")
+
+
 def score_pairs(pairs: DataFrame, scorer_factory: Callable[[], Callable[[list, list], object]],
                 method: str, batch_size: int = 64, max_length: int | None = None, apply_sigmoid: bool = False,
-                question: str = "question", context: str = "candidate_context") -> DataFrame:
-    """M7 + M8 + M10, then W1.
+                question: str = "question", context: str = "candidate_context", split: DataFrame | None = None,
+                subset: str = "all") -> DataFrame:
+    """M7 + M8 + M10 + M11, then W1.
 
     ``scorer_factory()`` returns ``score(questions, contexts) -> array``; it is
     called once per task.  Texts are passed whole unless ``max_length`` gives
-    the characters that the model can take; pairs are scored in slices of
-    ``batch_size`` inside each Arrow batch, and the latency column is the
-    batch's elapsed milliseconds per pair.  Keys travel
-    with the rows, so partition order does not matter.
+    the characters that the model can take.  A task scores its pairs in order
+    of length, ``batch_size`` at a time whatever the size of Arrow batches, so
+    that the pairs of a batch are about equally long and a model pads little;
+    the latency column is the batch's elapsed milliseconds per pair.  Keys
+    travel with the rows, so no order has to be restored.  Only the rows of
+    ``subset`` are scored.
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
@@ -90,24 +102,33 @@ def score_pairs(pairs: DataFrame, scorer_factory: Callable[[], Callable[[list, l
         whole = F.coalesce(F.col(column).cast("string"), F.lit(""))
         return whole if max_length is None else F.substring(whole, 1, max_length)
 
-    base = pairs.select("qid", "context_id", text(question).alias("_q"), text(context).alias("_c"))
+    base = (row_subset(pairs, split, subset).select("qid", "context_id", text(question).alias("_q"), text(context).alias("_c"))
+            .sortWithinPartitions((F.length("_q") + F.length("_c")).desc(), "qid", "context_id"))
     qtype, ctype = dict(base.dtypes)["qid"], dict(base.dtypes)["context_id"]
 
     def run(batches):
         score = scorer_factory()
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            t0 = time.perf_counter()
+
+        def scored(pdf: pd.DataFrame) -> pd.DataFrame:
             qs, cs = pdf["_q"].tolist(), pdf["_c"].tolist()
-            out = np.empty(n, dtype=np.float64)
-            for i in range(0, n, batch_size):
-                out[i:i + batch_size] = row_scores(score(qs[i:i + batch_size], cs[i:i + batch_size]),
-                                                      len(qs[i:i + batch_size]), apply_sigmoid)
-            ms = (time.perf_counter() - t0) * 1000.0 / n
-            yield pd.DataFrame({"qid": pdf["qid"], "context_id": pdf["context_id"], "score": out,
-                                "latency_ms": np.full(n, ms)})
+            out, ms = np.empty(len(pdf), dtype=np.float64), np.empty(len(pdf), dtype=np.float64)
+            for i in range(0, len(pdf), batch_size):
+                t0 = time.perf_counter()
+                some = slice(i, i + batch_size)
+                n = len(qs[some])
+                out[some] = row_scores(score(qs[some], cs[some]), n, apply_sigmoid)
+                ms[some] = (time.perf_counter() - t0) * 1000.0 / n
+            return pd.DataFrame({"qid": pdf["qid"], "context_id": pdf["context_id"], "score": out, "latency_ms": ms})
+
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            full = len(held) // batch_size * batch_size
+            if full:
+                yield scored(held.iloc[:full])
+                held = held.iloc[full:]
+        if held is not None and len(held):
+            yield scored(held)
 
     scored = base.mapInPandas(run, f"qid {qtype}, context_id {ctype}, score double, latency_ms double")
     return rank_scores(scored, method)

@@ -199,3 +199,27 @@ def q_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("plug_in_scores")
 def q_plug_in_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_pairs(qa_candidates(spark, sf_dir), char_histogram_scorer, "char_histogram", batch_size=64)
+
+
+SUBSET_SEED, SUBSET_SHARE, SUBSET_LENGTH = 42, 0.25, 60
+
+
+def length_scorer():
+    """Scores a pair by how alike its lengths are; the scores of a batch do not depend on each other."""
+    return lambda qs, cs: [-abs(len(q) - len(c)) for q, c in zip(qs, cs)]
+
+
+@register("plug_in_test_scores", f"""
+WITH {EASY}, k AS (SELECT DISTINCT qid FROM easy),
+o AS (SELECT qid, ROW_NUMBER() OVER (ORDER BY md5(concat_ws('|', '{SUBSET_SEED}', 'split', qid)), qid) AS o FROM k),
+t AS (SELECT qid FROM o WHERE o <= CAST(ceil((SELECT COUNT(*) FROM k) * {SUBSET_SHARE}) AS BIGINT)),
+s AS (SELECT qid, context_id, CAST(-abs(least(length(question), {SUBSET_LENGTH})
+             - least(length(candidate_context), {SUBSET_LENGTH})) AS DOUBLE) AS score FROM easy JOIN t USING (qid))
+SELECT qid, context_id, score, CAST(ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, context_id) AS INTEGER) AS rank,
+       'length' AS method FROM s""")
+def q_plug_in_test_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plug-in scorer over the test questions only."""
+    cand = qa_candidates(spark, sf_dir)
+    split = split_by_qid(cand, SUBSET_SHARE, SUBSET_SEED)
+    return score_pairs(cand, length_scorer, "length", batch_size=48, max_length=SUBSET_LENGTH, split=split,
+                       subset="test").drop("latency_ms")

@@ -21,6 +21,8 @@ def session_defaults() -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # tables bucketed by qid also serve joins by (qid, context_id)
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
