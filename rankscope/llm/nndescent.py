@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankscope.llm.common import connected_components, materialize
-from rankscope.session import num_partitions
+from rankscope.operators.ranking import range_number
+from rankscope.session import bounded_broadcast, num_partitions
 
 THRESHOLD = 0.9
 K, LARGE_K = 10, 40
@@ -106,31 +107,25 @@ def _near_in_orders(nodes: DataFrame, dim: int, k: int, seed: int | list[int], o
         signs = (_unit(vecs, dim) @ planes > 0).reshape(len(vecs), orders, BITS)
         return pd.Series(list((signs * (1 << np.arange(BITS - 1, -1, -1))).sum(axis=2)))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            full = len(held) // RUN * RUN
-            for a in range(0, full, RUN):
-                yield nearest(held.iloc[a:a + RUN])
-            held = held.iloc[full:]
-        if held is not None and len(held) > 1:
-            yield nearest(held)
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, order = _unit(pdf["vec"], dim), pdf["node"].to_numpy(), pdf["order"].to_numpy()
-        sim = np.where(order[:, None] == order[None, :], x @ x.T, -2)
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, run = _unit(pdf["vec"], dim), pdf["node"].to_numpy(), pdf["run"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        return pd.concat([nearest(x[p:q], ids[p:q]) for p, q in zip(starts, np.r_[starts[1:], len(run)])])
+
+    def nearest(x: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        sim = x @ x.T
         np.fill_diagonal(sim, -2)
         top = np.argsort(-sim, axis=1, kind="stable")[:, :min(k, len(ids) - 1)]
         got = np.take_along_axis(sim, top, axis=1)
-        good = got > -2
-        return pd.DataFrame({"v": np.repeat(ids, top.shape[1])[good.ravel()], "u": ids[top][good],
-                             "sim": got[good], "new": True})
+        return pd.DataFrame({"v": np.repeat(ids, top.shape[1]), "u": ids[top].ravel(), "sim": got.ravel(), "new": True})
 
-    rows = (nodes.select("node", "vec", F.posexplode(codes("vec")).alias("order", "code"))
-            .repartitionByRange(num_partitions(nodes.sparkSession), "order", "code", "node")
-            .sortWithinPartitions("order", "code", "node"))
-    return rows.mapInPandas(near, "v long, u long, sim double, new boolean")
+    # runs are cut by place in the whole order, wherever partitions begin
+    rows = nodes.select("node", F.posexplode(codes("vec")).alias("order", "code"))
+    placed = range_number(rows, ["order"], [F.col("code").asc(), F.col("node").asc()], "place")
+    run = F.col("order").cast("long") * (1 << 40) + F.floor((F.col("place") - 1) / RUN)
+    dealt = (placed.select("node", run.alias("run")).join(nodes.select("node", "vec"), "node")
+             .repartition(num_partitions(nodes.sparkSession), "run").sortWithinPartitions("run", "node"))
+    return dealt.mapInPandas(_by_group("run", near), "v long, u long, sim double, new boolean")
 
 
 def _candidates(lists: DataFrame, nodes: DataFrame, dim: int, k: int, round_no: int,
@@ -284,10 +279,13 @@ def _compare_whole(nodes: DataFrame, dim: int, threshold: float, n: int) -> tupl
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD,
                     k: int = K, large_k: int = LARGE_K, seed: int = 7) -> DataFrame:
-    """One row per row of ``df``: id, n_links, component_id, kept.
+    """One row per row of ``df``: id, n_links, component_id, kept, recall.
 
     n_links counts the other rows found within cosine ``threshold``;
-    component_id is the smallest id that links reach; kept: the id is it.
+    component_id is the smallest id that links reach; kept: the id is it;
+    recall: the share of the audited sample's links that were found, the same
+    on every row, 1 where all pairs were compared, null where the largest
+    sample had no link to find, so that it is unmeasured.
     Vectors that are null, zero, or hold a null or non-finite component link
     with nothing (component_id is their own id); shorter vectors are filled up
     with zeros; equal vectors, repeated rows included, are one node of the
@@ -298,8 +296,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = materialize(rows)
     whole = rows.where("vec is not null")
     classes = whole.groupBy("vec").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("min_id"))
-    nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    edges, dense, counted = _graph(nodes, dim, threshold, k, large_k, seed)
+    # numbered by a hash of the vector, so that the same vectors have the same numbers on any cluster
+    nodes = materialize(range_number(classes, [], [F.xxhash64("vec").asc(), F.col("vec").asc()], "node"))
+    edges, dense, counted, recall = _graph(nodes, dim, threshold, k, large_k, seed)
     comp = materialize(connected_components(edges, "a", "b"))
     named = (nodes.join(comp, "node", "left")
              .select("node", "vec", "size", "min_id", F.coalesce("component", "node").alias("comp")))
@@ -307,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     if counted is None:
         full = named.join(dense, "node", "left_semi").select("comp").distinct()
         sizes = materialize(named.join(full, "comp", "left_semi").groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
-        members = named.join(sizes, "comp")
+        members = named.join(bounded_broadcast(sizes), "comp")
         counted = _block_counts(members, dim, threshold)
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     size_of = nodes.select(F.col("node").alias("other"), "size")
@@ -321,16 +320,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     joined = whole.join(result, "vec").select("id", "n_links", "component_id")
     alone = rows.where("vec is null").select("id", F.lit(0).cast("long").alias("n_links"),
                                              F.col("id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    return (joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+            .withColumn("recall", F.lit(recall).cast("double")))
 
 
 def _graph(nodes: DataFrame, dim: int, threshold: float, k: int, large_k: int,
-           seed: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Links (a, b), and the nodes whose enlarged lists are still full of links.
+           seed: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, float | None]:
+    """Links (a, b), the nodes whose enlarged lists are still full of links, None, and the audited recall.
 
-    Where rounds stall below AUDIT_RECALL: connections (a, b), None, and the
-    weights (node, weight) of all nodes with links, by comparing all pairs.
+    Where rounds stall below AUDIT_RECALL: connections (a, b), None, the
+    weights (node, weight) of all nodes with links, by comparing all pairs, and 1.
     """
+    recall: float | None = None
     vecs = nodes.select("node", "vec")
     n = nodes.count()
     orders = _orders(n)
@@ -339,6 +340,7 @@ def _graph(nodes: DataFrame, dim: int, threshold: float, k: int, large_k: int,
     def refine(lists: DataFrame, size: int, first: int, only: DataFrame | None = None,
                floor: float = -1.0) -> tuple[DataFrame, DataFrame, int, bool]:
         """(lists, links, next round, whether the audit is content) after rounds with lists of ``size``."""
+        nonlocal recall
         known: list[int] = []
         number = first
         while True:
@@ -348,6 +350,7 @@ def _graph(nodes: DataFrame, dim: int, threshold: float, k: int, large_k: int,
             lists = _best(more.union(lists.select("v", "u", "sim", F.lit(False))), size)
             edges = materialize(links_of(lists, threshold))
             found, there = audit(true, edges, size)
+            recall = found / there if there else 1.0 if n <= AUDIT_MOST else None
             _log.info("round %d, lists of %d: %d of %d audited links found", number, size, found, there)
             known.append(found)
             number += 1
@@ -372,5 +375,5 @@ def _graph(nodes: DataFrame, dim: int, threshold: float, k: int, large_k: int,
     if not good:
         _log.warning("rounds stall below a recall of %s: all %d vectors are compared", AUDIT_RECALL, n)
         edges, counted = _compare_whole(nodes, dim, threshold, n)
-        return edges, None, counted
-    return edges, full.withColumnRenamed("v", "node"), None
+        return edges, None, counted, 1.0
+    return edges, full.withColumnRenamed("v", "node"), None, recall

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from rankscope.llm import angular, threshold, wumanber
+from rankscope.llm import angular, nndescent, threshold, wumanber
 
 from ..conftest import SF_SMALL
 
@@ -237,3 +237,32 @@ def test_decontamination_of_empty_tables(spark):
     assert wumanber.decontaminate(docs.limit(0), none).count() == 0
     with pytest.raises(ValueError):
         wumanber.decontaminate(docs, none, width=0)
+
+
+# 5 NN-descent
+
+
+def test_nn_descent_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(60, 16))
+    x = centre[rng.integers(0, 60, 400)] + 0.12 * rng.normal(size=(400, 16))
+    x[300:330] = x[5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    runs = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (3, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        runs.append(sorted(map(tuple, nndescent.near_duplicates(df.repartition(parts)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1] and len({r[4] for r in runs[0]}) == 1 and 0.97 <= runs[0][0][4] <= 1
+
+
+def test_nn_descent_ties_lengths_and_names(spark):
+    side = 0.19 ** 0.5
+    rows = [(1, [3.0, 4.0], "x"), (2, [3.0, 4.0, 0.0], "x"), (3, [0.9, side * (1 - 1e-12)], "x"), (4, [1.0], "x"), (5, [0.0], "x"),
+            (6, [], "x"), (None, [3.0, 4.0], "x"), (7, [0.9, side * (1 + 1e-12)], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
+    got = {r.id: r for r in nndescent.near_duplicates(df).collect()}
+    assert got[4].n_links == 1 and got[3].n_links == 2 and got[7].n_links == 1 and got[4].component_id == 3
+    assert got[1].n_links == 2 and got[2].component_id == 1 and got[None].component_id == 1 and not got[None].kept
+    assert got[5].n_links == got[6].n_links == 0 and got[5].component_id == 5
