@@ -104,7 +104,10 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          cluster_col: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS,
          clusters: DataFrame | None = None) -> DataFrame:
-    """One row per piece: id, piece, n_pieces, first_word, n_words, bin_id, bin_offset, bin_words.
+    """One row per piece: id, text_key, piece, n_pieces, first_word, n_words, bin_id, bin_offset, bin_words.
+
+    id and text_key (``common.text_key``) lead back to the text, whose words
+    from first_word on are the piece.
 
     Lengths are words between ASCII white space; ``cluster_col`` names the
     duplicate cluster, or ``clusters`` gives that of each text as (key,
@@ -149,9 +152,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         pdf["bin_id"] = [int(b) for b, _ in places] + pdf["group"] * (1 << 32)
         pdf["bin_offset"] = [o for _, o in places]
         pdf["bin_words"] = pdf.groupby("bin_id")["n_words"].transform("sum")
-        return pdf[["id", "piece", "n_pieces", "first_word", "n_words", "bin_id", "bin_offset", "bin_words"]]
+        return pdf[["id", "key", "piece", "n_pieces", "first_word", "n_words", "bin_id", "bin_offset", "bin_words"]].rename(
+            columns={"key": "text_key"})
 
     return (rows.select("group", "id", "key", "source", "cluster", "n_pieces", "piece", "first_word", "n_words")
             .groupBy("group").applyInPandas(
-                pack_group, f"id {id_type}, piece long, n_pieces long, first_word long, n_words long, "
+                pack_group, f"id {id_type}, text_key string, piece long, n_pieces long, first_word long, n_words long, "
                             "bin_id long, bin_offset long, bin_words long"))

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from rankscope.llm import sentences, simhash
+from rankscope.llm.common import text_key
 
 from .test_corpus_operators import DOCS
 
@@ -59,6 +60,22 @@ def test_run_matches_the_stages(spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert rows.doc_id.nunique() == docs.count() - 4
     assert (rows.groupby("bin_id").n_words.sum() <= 2048).all()
+    texts = {(r.doc_id, r.key): r.text for r in docs.select("doc_id", "text", text_key("text").alias("key")).collect()}
+    whole = [r for r in rows.itertuples() if (r.doc_id, r.text_key) in texts]  # those that no stage has changed
+    assert len(whole) > 50 and all(len(texts[r.doc_id, r.text_key].split()) >= r.first_word + r.n_words for r in whole)
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark, tmp_path):
+    docs, _ = planted(spark)
+    odd = docs.where("doc_id in (3, 7, 9)")
+    docs = (docs.union(odd).union(odd.withColumn("doc_id", odd.doc_id * 0 + 5)).union(odd.selectExpr(
+        "cast(null as long) as doc_id", "concat(text, ' And a new end of it, with some more words.') as text", "lang", "source",
+        "n_chars")).selectExpr("*", "'x' as text_key", "'y' as fp", "'z' as bin_id", "1 as g", "2 as kept"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    first = {r.text: None for r in docs.collect()}
+    # texts 7 and 9 stay under the smaller id 5
+    assert len(first) > 60 and rows.doc_id.nunique() == 62 and rows.duplicated(["doc_id", "text_key", "piece"]).sum() == 0
 
 
 def test_empty_table(spark, tmp_path):
