@@ -44,7 +44,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in bins without two pieces of a source or duplicate cluster."""
+    """Pieces of the remaining documents in bins without two pieces of a source or duplicate cluster.
+
+    doc_id and text_key lead from a piece to its text in the stage before.
+    """
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
