@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import round_metric, softplus, to_double_or
 from rankscope.operators.ranking import dealt_by, number_within, score_order, top_k
-from rankscope.session import materialize
 
 SUMMARY_COLUMNS = ["method", "num_eval_qids", "precision_at_1", "precision_at_3",
                    "precision_at_5", "mrr", "ndcg_at_5", "avg_latency_ms"]
@@ -36,8 +35,10 @@ def per_query_metrics(scores: DataFrame, candidates: DataFrame, ks: Sequence[int
     s = scores.select("method", "qid", "context_id", F.col("rank").cast("double").alias("rank"))
     lab = candidates.select("qid", "context_id", F.col("label"))
     keys = ["method", "qid"]
-    # read by three branches below
-    j = dealt_by(s.join(lab, ["qid", "context_id"]), keys, s, dealt, hot_rows)
+    joined = s.join(lab, ["qid", "context_id"])
+    if joined.isEmpty():
+        raise ValueError("no score row has a candidate with its qid and context_id")
+    j = dealt_by(joined, keys, s, dealt, hot_rows)  # read by three branches below
     kmax = max(max(ks), ndcg_k)
     by_rank = top_k(j, keys, [F.col("rank").asc_nulls_last(), F.col("context_id").asc()], kmax)
     pos, label = F.col("pos"), F.col("label")
@@ -50,10 +51,7 @@ def per_query_metrics(scores: DataFrame, candidates: DataFrame, ks: Sequence[int
     out = (full.join(head, keys).join(ideal, keys)
            .withColumn("rr", F.coalesce(F.lit(1.0) / F.col("best_rank"), F.lit(0.0)))
            .withColumn(f"ndcg_{ndcg_k}", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)))
-    out = materialize(out.select(*keys, *[f"hit_{k}" for k in ks], "rr", f"ndcg_{ndcg_k}"))
-    if out.isEmpty():
-        raise ValueError("no score row has a candidate with its qid and context_id")
-    return out
+    return out.select(*keys, *[f"hit_{k}" for k in ks], "rr", f"ndcg_{ndcg_k}")
 
 
 def evaluate_methods(scores: DataFrame, candidates: DataFrame, places: int | None = 4, dealt: bool = False) -> DataFrame:
