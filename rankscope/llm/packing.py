@@ -126,10 +126,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.concat(F.lit("="), F.col(cluster_col).cast("string")), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                        cluster.alias("cluster"), text_key(text_col).alias("key"), words.cast("long").alias("len"))
-    if clusters is not None:
+    kinds = rows.groupBy("id", "source", "cluster", "key", "len").agg(F.count(F.lit(1)).alias("copies"))
+    if clusters is not None:  # nothing after the join needs a text's rows together, so that Spark can split them
         own = clusters.select(F.col("key"), F.md5(F.concat(F.lit("="), "cluster").cast("binary")).alias("own"))
-        rows = rows.join(own, "key", "left").withColumn("cluster", F.coalesce("own", "cluster")).drop("own")
-    kinds = materialize(rows.groupBy("id", "source", "cluster", "key", "len").agg(F.count(F.lit(1)).alias("copies")))
+        kinds = kinds.join(own, "key", "left").withColumn("cluster", F.coalesce("own", "cluster")).drop("own")
+    kinds = materialize(kinds)
     groups = max(1, -(-(kinds.agg(F.sum("copies")).first()[0] or 0) // group_rows))
     # equal rows are interchangeable, so their number can tell them apart; some thousands of them are written out at a time
     last = F.col("copies") - 1
