@@ -1,9 +1,11 @@
 """The pipeline's stages on a planted table."""
 
 import random
+import sys
 
+import __spark_entry__ as E
 import corpus_pipeline
-from rankscope.llm import sentences, simhash
+from rankscope.llm import packing, sentences, simhash
 from rankscope.llm.common import text_key
 
 from .test_corpus_operators import DOCS
@@ -83,3 +85,32 @@ def test_empty_table(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert simhash.SHINGLE == 3 and sentences.MIN_SENTENCES == 2
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(500)]
+        rows.append((k, " ".join(words), "en", f"s{k}", 0))
+        if k % 2:
+            rows.append((100 + k, " ".join(words[:250] + ["other"] + words[251:]), "en", f"t{k}", 0))
+    rows += [(None, None, "en", "n", 0)] * 60
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    clusters = simhash.text_clusters(docs)
+    of = {r.key: r.cluster for r in clusters.collect()}
+    assert len(of) == 61 and len(set(of.values())) < 45
+    out = packing.pack(docs, group_rows=24, clusters=clusters).toPandas()
+    out["cluster"] = out.text_key.map(of)
+    assert not out.duplicated(["bin_id", "cluster"]).any() and len(out) == 120
+    empty = out[out.n_words == 0]
+    assert len(empty) == 60 and empty.groupby(empty.bin_id // 2 ** 32).size().max() < 30  # no group has all the copies
+
+
+def test_entry_without_an_optional_package(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("rankscope.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "regex", None)
+    names = E.queries()
+    assert len(names) > 50 and not any(n.startswith("op") or n == "pipeline" for n in names)
+    assert not any(n.startswith("op") for n in E.oracle_sql())
