@@ -12,7 +12,7 @@ block size.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -158,15 +158,32 @@ def similarity(pairs: DataFrame, pair_key: str, left: str, right: str, backend:
 
 # --------------------------------------------------------------------------- top k
 
+def _flat(grams: Sequence[np.ndarray], weights: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All grams, all weights and the rows' sizes of a list of sparse rows."""
+    sizes = np.array([len(g) for g in grams], dtype=np.int64)
+    return (np.concatenate([np.zeros(0, np.int64), *(np.asarray(g, dtype=np.int64) for g in grams)]),
+            np.concatenate([np.zeros(0), *(np.asarray(w, dtype=np.float64) for w in weights)]), sizes)
+
+
 class SparseBlock:
-    """Inverted index over one block of sparse rows, given as all grams, all weights and the rows' sizes.
+    """Inverted index over one block of sparse rows.
 
     Grams that many rows hold are multiplied as dense matrices, the rest is added up from short posting lists.
     """
 
     CELLS = 1 << 24
 
-    def __init__(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray):
+    def __init__(self, grams: Sequence[np.ndarray], weights: Sequence[np.ndarray]):
+        self._index(*_flat(grams, weights))
+
+    @classmethod
+    def packed(cls, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> SparseBlock:
+        """From all grams, all weights and the rows' sizes."""
+        block = cls.__new__(cls)
+        block._index(grams, weights, sizes)
+        return block
+
+    def _index(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> None:
         self.n = len(sizes)
         row = np.repeat(np.arange(self.n), sizes)
         order = np.argsort(grams, kind="stable")
@@ -182,8 +199,16 @@ class SparseBlock:
         of = np.repeat(self.column, held)
         self.dense[self.row[of >= 0], of[of >= 0]] = self.weight[of >= 0]
 
-    def scores(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def scores(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dot products of one sparse row with each row of the block."""
+        return self.score_matrix([grams], [weights])[0]
+
+    def score_matrix(self, grams: Sequence[np.ndarray], weights: Sequence[np.ndarray]) -> np.ndarray:
         """Dot products of each given sparse row with each row of the block."""
+        return self.score_packed(*_flat(grams, weights))
+
+    def score_packed(self, grams: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same, of rows given as all grams, all weights and their sizes."""
         m = len(sizes)
         who = np.repeat(np.arange(m), sizes)
         at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
@@ -255,14 +280,15 @@ def topk_sparse(questions: DataFrame, contexts: DataFrame, q_key: str, c_key: st
     def hold(rows: pa.Table) -> tuple:
         grams, sizes = lists_to_numpy(rows.column("grams"), "int64")
         rid = rows.column("rid").to_pandas().to_numpy()
-        return SparseBlock(grams, lists_to_numpy(rows.column("weights"), "float64")[0], sizes), rid, id_order(rid)
+        weights = lists_to_numpy(rows.column("weights"), "float64")[0]
+        return SparseBlock.packed(grams, weights, sizes), rid, id_order(rid)
 
     def meet(held: tuple, some: pa.Table) -> Iterator[pa.RecordBatch]:
         index, rid, tie = held
         for a in range(0, some.num_rows, visitors):
             part = some.slice(a, visitors)
             grams, sizes = lists_to_numpy(part.column("grams"), "int64")
-            scores = index.scores(grams, lists_to_numpy(part.column("weights"), "float64")[0], sizes)
+            scores = index.score_packed(grams, lists_to_numpy(part.column("weights"), "float64")[0], sizes)
             lid = part.column("lid").to_pylist()
             yield pa.RecordBatch.from_pydict(_top_rows(scores, lid, rid, tie, k, exclude_same), arrow)
 
