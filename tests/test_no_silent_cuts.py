@@ -129,3 +129,18 @@ def test_output_order_and_preview(spark, tmp_path):
     lines = [x for f in sorted((tmp_path / "o").glob("part-*")) for x in f.read_text().split()[1:]]
     assert [x[:2] for x in lines] == ["q1", "q2", "q3"]
     assert preview(df.orderBy("qid"), 2, 4) == [{"qid": "q1", "t": "y"}, {"qid": "q2", "t": "xxxx"}]
+
+
+def test_a_source_of_any_size_is_numbered_by_range(spark):
+    from rankscope.operators.corpus import load_qa
+
+    rows = [("a" if k % 10 else "b", "t", f"ask {k % 400}", f"answer {k % 400}", k, 0) for k in range(500)]
+    raw = spark.createDataFrame([*rows, (None, "t", "x", "y", 900, 0)],
+                                "department string, title string, ask string, answer string, conv_id long, turn long")
+    out = load_qa(raw, ["conv_id", "turn"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan  # no window over a whole source
+    got = {(r.canonical_department, r.row_no, r.ask) for r in out.collect()}
+    want = {(d, n, f"ask {k}") for d, ks in (("a", [k for k in range(400) if k % 10]), ("b", range(0, 400, 10)))
+            for n, k in enumerate(ks)}
+    assert got == want | {(None, 0, "x")}
