@@ -144,3 +144,27 @@ def test_a_source_of_any_size_is_numbered_by_range(spark):
     want = {(d, n, f"ask {k}") for d, ks in (("a", [k for k in range(400) if k % 10]), ("b", range(0, 400, 10)))
             for n, k in enumerate(ks)}
     assert got == want | {(None, 0, "x")}
+
+
+def test_easy_set_moves_texts_and_no_vectors(spark):
+    import numpy as np
+
+    from rankscope.operators.candidates import build_easy_candidates
+    from rankscope.operators.similarity import _bounded
+
+    rows = [(f"r{k:02d}", f"ask {k % 7}", f"context of {k % 5}", "ab"[k % 2]) for k in range(20)]
+    corpus = spark.createDataFrame(rows, "raw_id string, ask string, context string, canonical_department string")
+    small = build_easy_candidates(corpus, None, 2, 2, departments=None)
+    assert "grams" not in small._jdf.queryExecution().optimizedPlan().toString()  # no vector is shuffled
+    spark.conf.set("rankscope.broadcastRows", "0")
+    try:
+        joined = {r.context_id: r for r in build_easy_candidates(corpus, None, 2, 2, departments=None).collect()}
+    finally:
+        spark.conf.unset("rankscope.broadcastRows")
+    got = {r.context_id: r for r in small.collect()}
+    assert got.keys() == joined.keys() and len(got) == 100
+    for k, r in got.items():
+        assert (r.qid, r.candidate_context) == (joined[k].qid, joined[k].candidate_context)
+        assert abs(r.embedding_score - joined[k].embedding_score) < 1e-12
+    sizes = [len(x) for x in _bounded(((np.zeros(300), k) for k in range(100)), lambda held: held, 1000)]
+    assert sum(sizes) == 100 and max(sizes) == 4  # a worker's batches are bounded by their grams
