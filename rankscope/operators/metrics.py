@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankscope.functions.numeric import round_metric, softplus, to_double_or
 from rankscope.operators.ranking import dealt_by, number_within, score_order, top_k
+from rankscope.session import spread
 
 SUMMARY_COLUMNS = ["method", "num_eval_qids", "precision_at_1", "precision_at_3",
                    "precision_at_5", "mrr", "ndcg_at_5", "avg_latency_ms"]
@@ -118,7 +119,7 @@ def pointwise_loss(df: DataFrame, label: str = "label", logit: str = "score", po
 
 
 def listwise_loss(df: DataFrame, group: Sequence[str] = (), label: str = "label",
-                  logit: str = "score", strict: bool = False) -> DataFrame:
+                  logit: str = "score", strict: bool = False, rows: int | None = None) -> DataFrame:
     """Softmax cross-entropy of the positive per qid, averaged over qids,
     with group hit@1/3/5 and MRR of the positive's position (W1 tie-break).
 
@@ -126,11 +127,13 @@ def listwise_loss(df: DataFrame, group: Sequence[str] = (), label: str = "label"
     and are counted in num_left_out, or raise when the result is read if
     ``strict``.
     The log-sum-exp is a two-level aggregate (max, then sum of exp(s - max)),
-    so a hot qid never sits in one task.
+    so a hot qid never sits in one task.  ``rows``, a bound of the number of
+    rows where it is known, gives many rows more tasks than the session's.
     """
     keys = [*group, "qid"]
     s = F.col(logit).cast("double")
     base = df.select(*keys, "context_id", s.alias("s"), F.col(label).cast("int").alias("y"))
+    base = base if rows is None else spread(base, rows, *keys)
     stats = base.groupBy(*keys).agg(F.max("s").alias("m"), F.sum("y").alias("npos"),
                                     F.max(F.when(F.col("y") == 1, F.col("s"))).alias("s_pos"),
                                     F.max(F.when(F.col("y") == 1, F.col("context_id"))).alias("c_pos"))

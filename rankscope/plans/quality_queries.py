@@ -13,7 +13,8 @@ from rankscope.operators.runs import best_epochs
 from rankscope.operators.sampling import split_by_qid
 from rankscope.plans.catalog import register
 from rankscope.plans.sql_ranked import RANKED_CTE
-from rankscope.sources.adapters import judged, ranked_candidates, ranked_groups, ranked_raw_scores, runs
+from rankscope.sources.adapters import RANKED_METHODS, judged, ranked_candidates, ranked_groups, ranked_raw_scores, runs
+from rankscope.sources.tables import table
 
 SEED = 42
 TEST_SIZE = 0.25
@@ -119,9 +120,10 @@ SELECT method, round(AVG(ce), 6) AS loss, COUNT(*) AS num_groups, MAX(n) - COUNT
 FROM pq JOIN al USING (method) GROUP BY method""")
 def q_listwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ranked_groups(spark, sf_dir)
+    rows = len(RANKED_METHODS) * table(spark, sf_dir, "lineitem", "l_orderkey").count()  # groups are at most the lines
     b = (ranked_raw_scores(g).join(ranked_candidates(g), ["qid", "context_id"])
          .withColumn("score", F.col("score") / 1000.0))
-    return _r6(listwise_loss(b, group=["method"]))
+    return _r6(listwise_loss(b, group=["method"], rows=rows))
 
 
 @register("best_epoch", f"""

@@ -168,3 +168,20 @@ def test_easy_set_moves_texts_and_no_vectors(spark):
         assert abs(r.embedding_score - joined[k].embedding_score) < 1e-12
     sizes = [len(x) for x in _bounded(((np.zeros(300), k) for k in range(100)), lambda held: held, 1000)]
     assert sum(sizes) == 100 and max(sizes) == 4  # a worker's batches are bounded by their grams
+
+
+def test_more_rows_get_more_tasks(spark):
+    from rankscope.operators.metrics import listwise_loss, ranking_metrics_from_scores
+
+    rows = [("m", k // 5, k % 5, float((k * 7) % 11), int(k % 5 == 2)) for k in range(400)]
+    df = spark.createDataFrame(rows, "method string, qid long, context_id long, score double, label int")
+    want = [ranking_metrics_from_scores(df).first(), listwise_loss(df, ["method"]).first()]
+    spark.conf.set("rankscope.taskRows", "20")
+    try:
+        out = [ranking_metrics_from_scores(df), listwise_loss(df, ["method"], rows=400)]
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in out]
+        assert all("method" in p and ", 20" in p[p.index("RepartitionByExpression"):] for p in plans)  # 20 partitions, not 4
+        assert [[round(v, 9) if isinstance(v, float) else v for v in x.first()] for x in out] == [
+            [round(v, 9) if isinstance(v, float) else v for v in x] for x in want]
+    finally:
+        spark.conf.unset("rankscope.taskRows")
