@@ -185,3 +185,15 @@ def test_more_rows_get_more_tasks(spark):
             [round(v, 9) if isinstance(v, float) else v for v in x] for x in want]
     finally:
         spark.conf.unset("rankscope.taskRows")
+
+
+def test_weights_of_the_easy_set_are_fitted_on_its_rows_only(spark):
+    from rankscope.operators.candidates import build_easy_candidates
+    from rankscope.operators.similarity import similarity
+
+    rows = [(f"r{k:02d}", f"ask {k}", f"context of {k}", [None, "a", "b"][k % 3]) for k in range(18)]
+    corpus = spark.createDataFrame(rows, "raw_id string, ask string, context string, canonical_department string")
+    out = build_easy_candidates(corpus, None, 2, 4, departments=None)
+    want = {r.context_id: r.s for r in similarity(out, "context_id", "question", "candidate_context", out="s").collect()}
+    got = {r.context_id: r.embedding_score for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
