@@ -67,3 +67,21 @@ def test_checks_name_every_fault(spark):
     assert [r.qid for r in split_leaks(split).collect()] == ["a"]
     with pytest.raises(ValueError, match="no score row"):
         evaluate_methods(scores, cand.where("qid > 100"))
+
+
+def test_stats_take_one_exchange_of_candidates_without_a_row_for_each_method(spark):
+    cand = spark.createDataFrame([(q, c, c == 2) for q in range(3) for c in range(1, 5)], "qid long, context_id long, is_positive boolean")
+    rows = [(m, q, c, float(c if m == "m1" else -c)) for m in ("m1", "m2", "other") for q in range(3) for c in range(1, 5)]
+    scores = spark.createDataFrame([(m, q, c, 5 - c if m == "m1" else c, None if c == 3 else float("nan") if c == 4 else s)
+                                    for m, q, c, s in rows if (m, q) != ("m2", 2)], "method string, qid long, context_id long, rank int, score double")
+    stats = method_stats_long(cand, scores, ["m1", "m2", "m3"])
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 0 and plan.count("Join") == 1 and "Window" not in plan
+    got = {(r.qid, r.method): (r.positive_rank, r.positive_score, r.top1_context_id) for r in stats.collect()}
+    assert got == {(q, m): (3, 2.0, 4) if m == "m1" else (2, -2.0, 1) for q in range(3) for m in ("m1", "m2") if (q, m) != (2, "m2")}
+    assert all(r.m3_positive_rank is None for r in method_stats_wide(stats, ["m1", "m2", "m3"]).collect())
+    tied = scores.withColumn("rank", F.lit(1))  # NaN is above all scores, a missing one below
+    tops = {r.method: r.top1_context_id for r in method_stats_long(cand, tied.where("qid = 0"), ["m1", "m2"]).collect()}
+    assert tops == {"m1": 4, "m2": 4}
+    tops = {r.method: r.top1_context_id for r in method_stats_long(cand, tied.where("qid = 0 and context_id < 4"), ["m1", "m2"]).collect()}
+    assert tops == {"m1": 2, "m2": 1}
