@@ -205,3 +205,21 @@ def test_encoding_by_code_point(spark):
     assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
     with pytest.raises(ValueError):
         ids_by_code_point(spark.createDataFrame([("ab", 4)], "ch string, id int"))
+
+
+def test_folders_by_value_are_written_in_one_job(spark, tmp_path):
+    from rankscope.sources.csv import load_scores, write_csv_by
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("1", f"c{k}", float(k), k, m, 0.0) for m in ("a", "b", "x") for k in (1, 2, 3)],
+                                 "qid string, context_id string, score double, rank int, method string, latency_ms double")
+    files = write_csv_by(rows.mapInArrow(count, rows.schema), str(tmp_path / "s"), "method", ["a", "b", "none"])
+    assert seen.value == 9 and list(files) == ["a", "b", "none"]
+    back = load_scores(spark, files)
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(tuple(r) for r in rows.where("method <> 'x'").collect())
