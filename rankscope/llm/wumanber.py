@@ -148,8 +148,7 @@ def _in_blocks(docs: DataFrame, text_col: str, pairs: DataFrame, blocks: int, ki
 
     @F.pandas_udf("array<struct<start: int, stop: int>>")
     def union(lists: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for x in some for s in x])]
-                          for some in lists])
+        return pd.Series([[{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in some])] for some in lists])
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
@@ -167,7 +166,7 @@ def _in_blocks(docs: DataFrame, text_col: str, pairs: DataFrame, blocks: int, ki
     for more in found[1:]:
         both = both.union(more)
     both = (both.groupBy("_tk").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))
-            .select("_tk", union("s").alias("s"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("i")))
+            .select("_tk", union(F.flatten("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("i")))
     wide = docs.withColumn("_tk", key).join(both, "_tk", "left")
     none = F.array().cast("array<struct<start: int, stop: int>>")
     return wide.withColumn("_found", F.struct(
