@@ -29,8 +29,9 @@ def train_lightweight(cand: DataFrame, kind: str = "logreg", test_size: float =
     P(positive) for ``score_subset`` rows (all | test | train) ranked with W1."""
     if kind not in ("logreg", "rf"):
         raise ValueError(f"unknown model kind {kind}")
-    split = split_by_qid(cand, test_size, seed)
-    feats = materialize(build_features(cand).join(split, "qid"))
+    feats = materialize(build_features(cand))  # the texts are read once and go no further
+    split = materialize(split_by_qid(feats, test_size, seed))
+    feats = materialize(feats.join(split, "qid"))
     train = feats.where(F.col("split") == "train")
     stats = train.agg(F.count(F.lit(1)).alias("n"),
                       F.sum(F.col("label").cast("long")).alias("npos"),
