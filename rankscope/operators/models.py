@@ -20,7 +20,7 @@ from rankscope.operators.metrics import classification_metrics
 from rankscope.operators.ranking import rank_scores
 from rankscope.operators.sampling import split_by_qid
 from rankscope.operators.scoring import FEATURE_COLUMNS, build_features
-from rankscope.session import materialize
+from rankscope.session import DEFAULT_FIT_ROWS, conf_int, dealt_evenly, materialize
 
 
 def train_lightweight(cand: DataFrame, kind: str = "logreg", test_size: float = 0.25, seed: int = 42,
@@ -31,7 +31,8 @@ def train_lightweight(cand: DataFrame, kind: str = "logreg", test_size: float =
         raise ValueError(f"unknown model kind {kind}")
     feats = materialize(build_features(cand))  # the texts are read once and go no further
     split = materialize(split_by_qid(feats, test_size, seed))
-    feats = materialize(feats.join(split, "qid"))
+    most = conf_int(feats.sparkSession, "rankscope.fitRows", DEFAULT_FIT_ROWS)
+    feats = materialize(dealt_evenly(feats.join(split, "qid"), feats.count(), most, "qid"))
     train = feats.where(F.col("split") == "train")
     stats = train.agg(F.count(F.lit(1)).alias("n"),
                       F.sum(F.col("label").cast("long")).alias("npos"),

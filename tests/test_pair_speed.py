@@ -1,9 +1,10 @@
-"""Pairs of texts: what a task computes once for several pairs, and how pairs are dealt over tasks."""
+"""Pairs of texts: what a task computes once for several pairs, and how pairs and rows of a fit are dealt over tasks."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from rankscope.functions import text as T
+from rankscope.operators import models
 from rankscope.operators.candidates import build_easy_candidates
 from rankscope.operators.scoring import build_features
 from rankscope.operators.similarity import Lookup, distinct, fit_weights, gram_ids, gram_ids_of, sparse_dot, text_similarity, tfidf_text
@@ -72,3 +73,24 @@ def test_pairs_are_dealt_by_rows_not_bytes(spark):
     finally:
         spark.conf.unset("rankscope.pairRows")
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_rows_of_a_fit_are_dealt_by_rows(spark, monkeypatch):
+    cand = build_easy_candidates(corpus(spark), None, 4, 5, 42, ("even", "odd"))
+    parts = []
+
+    def seen(df):
+        out = materialize(df)
+        parts.append((set(out.columns), out.rdd.getNumPartitions()))
+        return out
+
+    materialize = models.materialize
+    monkeypatch.setattr(models, "materialize", seen)
+    spark.conf.set("rankscope.fitRows", "50")
+    try:
+        scores, metrics = models.train_lightweight(cand, "rf", 0.25, 42, "all")
+    finally:
+        spark.conf.unset("rankscope.fitRows")
+    assert [n for columns, n in parts if {"split", "label"} <= columns] == [12]
+    assert scores.count() == 600 and scores.where("score between 0 and 1").count() == 600
+    assert metrics.first().num_train_qids == 45
