@@ -3,8 +3,12 @@
 import numpy as np
 import pytest
 
-from rankscope.operators import similarity
+from pyspark.sql import functions as F
+
+from rankscope.operators import candidates, corpus, scan, setjoin, similarity
+from rankscope.operators.candidates import char_array, char_text, near_duplicate_pool, pool_features
 from rankscope.operators.similarity import topk_dense
+from rankscope.plans import hard_queries
 
 
 @pytest.mark.parametrize("exclude_same", [True, False])
@@ -29,3 +33,41 @@ def test_dense_visits_are_not_written(spark, monkeypatch, exclude_same):
                       if not (exclude_same and ids[j] == one))[:5]
         assert [best[one, p + 1][0] for p in range(5)] == [j for _, j in want]
         assert [best[one, p + 1][1] for p in range(5)] == pytest.approx([-s for s, _ in want], abs=1e-9)
+
+
+def documents(spark, n=120, filler=4000):
+    """Documents of a few long texts, some in two languages, with equal openings, or null."""
+    texts = [f"ask {k % 9} {'opening ' * 160}{'xyz' * (k % 5)} {k % 40} {'w' * filler}" for k in range(n)]
+    rows = [(k, texts[k] if k % 17 else None, ["en", "fr", None][k % 3], f"src{k % 4}") for k in range(n)]
+    return spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string")
+
+
+def test_near_duplicate_pool_moves_no_texts(spark, tmp_path, monkeypatch):
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for module in (candidates, corpus, hard_queries, scan, setjoin):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", lambda df, f=module.materialize: kept.append(f(df)) or kept[-1])
+    got = sorted(map(tuple, hard_queries.q_near_duplicate_pool(spark, str(tmp_path)).collect()))
+    longest = [max((df.agg(F.max(F.length(c))).first()[0] or 0) for c, t in df.dtypes if t == "string")
+               for df in kept if "string" in dict(df.dtypes).values()]
+    assert len(longest) > 3 and max(longest) < 100
+    loaded, q = hard_queries.hard_inputs(spark, str(tmp_path))  # the same from whole texts
+    want = near_duplicate_pool(loaded, q, hard_queries.HARD, hard_queries.RANDOM, hard_queries.MAX_JACCARD)
+    assert got == sorted(map(tuple, want.collect())) and len(got) == q.count() > 40
+
+
+def test_features_in_the_place_of_texts(spark, tmp_path):
+    documents(spark, filler=5).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = hard_queries.documents_corpus(spark, str(tmp_path))
+    slim = hard_queries.documents_corpus(spark, str(tmp_path), pool_features())
+    assert slim.columns == ["canonical_department", "raw_id", "row_no", "ctx", "key", "chars"]
+    want = whole.select("canonical_department", "raw_id", "row_no", F.md5("context"), F.md5("answer_key"), char_text("answer"))
+    assert sorted(map(str, slim.collect())) == sorted(str(r) for r in want.toDF(*slim.columns).collect())
+
+
+def test_characters_as_a_text(spark):
+    answers = ["", None, "Banana  b", "é中中a", "😀a😀", "\"\\[x]"]
+    rows = spark.createDataFrame([(a,) for a in answers], "a string").select("a", char_text("a").alias("t"))
+    got = {r.a: sorted(r.x) for r in rows.select("a", char_array("t").alias("x")).collect()}
+    assert got == {a: sorted(set((a or "").lower()) - {" "}) for a in answers}
