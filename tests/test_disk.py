@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rankscope.operators import candidates, corpus, scan, setjoin, similarity
 from rankscope.operators.candidates import char_array, char_text, near_duplicate_pool, pool_features
 from rankscope.operators.similarity import topk_dense
-from rankscope.plans import hard_queries
+from rankscope.operators.ranking import total_and_most
+from rankscope.plans import catalog, hard_queries
 
 
 @pytest.mark.parametrize("exclude_same", [True, False])
@@ -71,3 +72,41 @@ def test_characters_as_a_text(spark):
     rows = spark.createDataFrame([(a,) for a in answers], "a string").select("a", char_text("a").alias("t"))
     got = {r.a: sorted(r.x) for r in rows.select("a", char_array("t").alias("x")).collect()}
     assert got == {a: sorted(set((a or "").lower()) - {" "}) for a in answers}
+
+
+def line_items(spark, path, orders=300):
+    """Lines of some orders, with repeated keys, null scores and one null order."""
+    rows = [(o if o else None, 1 + (o * k) % 5, "RAN"[(o + k) % 3], float(o * 7 % 50 + k) if (o + k) % 11 else None, float(k % 4),
+             (o * k % 9) / 10) for o in range(orders) for k in range(o % 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_extendedprice double, "
+                                "l_quantity double, l_discount double").write.parquet(f"{path}/lineitem.parquet")
+
+
+def hot_and_dealt(spark, query, path):
+    """The rows of a query over lines that are dealt by order, and over the same with every order taken for a hot one."""
+    dealt = query(spark, path)
+    rows = sorted(map(str, dealt.collect()))
+    spark.conf.set("rankscope.hotGroupRows", "3")
+    try:
+        return dealt, rows, sorted(map(str, query(spark, path).collect()))
+    finally:
+        spark.conf.unset("rankscope.hotGroupRows")
+
+
+def test_lines_are_dealt_once(spark, tmp_path):
+    line_items(spark, tmp_path)
+    for name in ("evaluate_methods", "method_stats_wide"):
+        dealt, rows, hot = hot_and_dealt(spark, catalog.queries()[name], str(tmp_path))
+        plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Exchange hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(qid" not in plan
+        assert not any(f"Exchange hashpartitioning({c}" in plan and f"qid#" in line for c in ("method", "context_id")
+                       for line in plan.splitlines() if f"Exchange hashpartitioning({c}" in line)
+        assert len(rows) >= 3 and rows == hot
+
+
+def test_groups_are_counted_by_buckets_first(spark):
+    rows = spark.range(20_000).selectExpr("id % 5000 AS a", "'x' AS b")
+    total, most = total_and_most(rows, ["a", "b"], 100)
+    assert total == 20_000 and 4 <= most <= 100
+    assert total_and_most(rows, ["a", "b"], 3) == (20_000, 4)
+    assert total_and_most(rows.limit(0), ["a", "b"], 3) == (0, 0)
