@@ -1,15 +1,19 @@
 """What queries write grows with the rows: visits, texts, scores and candidates."""
 
+import csv
+import os
+
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from rankscope import jobs
 from rankscope.operators import candidates, corpus, scan, setjoin, similarity
 from rankscope.operators.candidates import char_array, char_text, near_duplicate_pool, pool_features
 from rankscope.operators.similarity import topk_dense
 from rankscope.operators.ranking import total_and_most
-from rankscope.plans import catalog, hard_queries
+from rankscope.plans import catalog, hard_queries, io_queries
 
 
 @pytest.mark.parametrize("exclude_same", [True, False])
@@ -110,3 +114,34 @@ def test_groups_are_counted_by_buckets_first(spark):
     assert total == 20_000 and 4 <= most <= 100
     assert total_and_most(rows, ["a", "b"], 3) == (20_000, 4)
     assert total_and_most(rows.limit(0), ["a", "b"], 3) == (0, 0)
+
+
+@pytest.mark.parametrize("name", ["error_analysis_cases", "error_analysis_summary"])
+def test_analysis_keeps_statistics_and_packs_files(spark, tmp_path, monkeypatch, name):
+    line_items(spark, tmp_path, 150)
+    kept, materialize, roots, analysis = [], jobs.materialize, [], io_queries.error_analysis
+    monkeypatch.setattr(jobs, "materialize", lambda df: kept.append(materialize(df)) or kept[-1])
+    monkeypatch.setattr(io_queries, "error_analysis", lambda *a, **b: roots.append(os.path.dirname(a[1])) or analysis(*a, **b))
+    _, rows, hot = hot_and_dealt(spark, catalog.queries()[name], str(tmp_path))
+    assert len(rows) > 5 and rows == hot
+    for df in kept:  # neither scores nor the texts of cases
+        assert not {"latency_ms", "rank", "question", "positive_context"} & set(df.columns)
+    for root in roots:
+        files = [f for d, _, names in os.walk(root.removeprefix("file:")) if "_COMPLETE" not in d for f in names
+                 if f.startswith("part-")]
+        assert len(files) > 4 and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_a_bad_score_without_a_rank_is_still_told(spark, tmp_path):
+    def written(name, rows):
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f).writerows(rows)
+        return str(tmp_path / name)
+
+    cand = written("c.csv", [["qid", "question", "context_id", "candidate_context", "label", "department", "source_type", "embedding_score"],
+                             ["q1", "x", "c1", "t", "1", "d", "positive", "0.5"]])
+    scores = written("s.csv", [["qid", "context_id", "score", "rank", "method", "latency_ms"],
+                               ["q1", "c1", "0.5", "1", "m", "0"], ["q9", "c9", "high", "", "m", "0"]])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        jobs.error_analysis(spark, cand, {"m": scores}, str(tmp_path / "out"))
+    assert not os.path.exists(tmp_path / "out")
